@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cairn.functions import wkt
+from cairn.operators import dual_tree
 from cairn.operators.anomalies import implausible_readings
 from cairn.storage import table
 
@@ -12,5 +14,34 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return implausible_readings(table(spark, folder, "observation")).select("id", "field")
 
 
-QUERIES = {"p4_found": p4_found}
+#: Area in which a point counts as placed: west, south, east, north.
+COUNTRY = (50.5, 24.2, 52.0, 26.6)
+
+
+def _placed(points: DataFrame) -> DataFrame:
+    west, south, east, north = COUNTRY
+    return points.where(F.col("lon").between(west, east) & F.col("lat").between(south, north))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    fixes = _placed(table(spark, folder, "observation").select(F.col("id").cast("string").alias("id"), F.col("lng").alias("lon"), "lat"))
+    reports = table(spark, folder, "incidents").select("id", wkt.point(F.col("geom")).alias("p")).select("id", "p.lon", "p.lat").distinct()
+    reports = _placed(reports)
+    lines = table(spark, folder, "traffic_state").select("segment_id", wkt.line(F.col("geom")).alias("line")).distinct()
+    pieces = lines.select(F.col("segment_id").alias("id"), F.explode(wkt.pieces(F.col("line"))).alias("s")).select("id", "s.*")
+    areas = table(spark, folder, "vector_features").select("id", wkt.rings(F.col("geom")).alias("rings")).where("rings is not null").select("id", wkt.edges(F.col("rings")).alias("edges"))
+    found = {
+        "observation_incident": dual_tree.near_points(fixes, reports, 50.0),
+        "incident_segment": dual_tree.near_lines(reports, pieces, 30.0),
+        "observation_feature": dual_tree.points_in_areas(fixes, areas),
+        "incident_feature": dual_tree.points_in_areas(reports, areas),
+    }
+    out = None
+    for relation, pairs in found.items():
+        rows = pairs.select(F.lit(relation).alias("relation"), "left_id", "right_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found}
 SQL: dict[str, str] = {}
