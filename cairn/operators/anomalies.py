@@ -6,8 +6,9 @@ changes faster than the trip's tolerance on both sides; a suspect is flagged unl
 or the distances between fixes bear it out. Runs of one value are flagged where the trip moves on while
 the reading does not and the receiver varies otherwise.
 
-Every row-level step is keyed by (trip, stretch of time) with an overlap, never by the trip alone, so one
-trip may hold a third of all rows.
+All row-level steps run after one shuffle, keyed by (trip, stretch of time) with an overlap, never by the
+trip alone, so one trip may hold a third of all rows. Stretches that hold more rows than a stretch can
+have fixes are those of fixes sent again; they are reduced to distinct fixes before the shuffle.
 """
 
 from __future__ import annotations
@@ -22,14 +23,16 @@ from cairn.storage import materialize
 
 @dataclass(frozen=True)
 class Limits:
-    chunk_ms: int = 3_600_000  # stretch of time handled by one task at least
+    chunk_ms: int = 21_600_000  # stretch of time whose rows stay together
+    heavy_rows: int = 200_000  # rows of a stretch from which copies are merged beforehand
     gap_ms: int = 300_000  # fixes further apart are no neighbours
     speed_max: float = 80.0  # m/s, beyond any traveller on the ground
     accuracy_max: float = 5000.0  # m, beyond any usable fix
     fence: float = 1.5  # widths of the interquartile range
     least_in_hour: int = 20  # readings from which an hour has fences of its own
     speed_slack: tuple[float, float] = (0.85, 0.16)  # m/s, share of what neighbours bear out
-    speed_drop: tuple[float, float] = (0.6, 0.5)
+    speed_drop: tuple[float, float] = (0.6, 0.5)  # the same downwards
+    speed_borne: float = 0.65  # share of the neighbours' speed that the distances must show for a drop to be false
     accuracy_up: float = 2.5  # times what neighbours show
     accuracy_down: float = 0.35
     frozen_rows: int = 8  # readings of one value
@@ -42,129 +45,176 @@ def impossible(field: Column, value: Column, limits: Limits = Limits()) -> Colum
     return F.isnan(value) | F.when(field == "speed", (value < 0) | (value > limits.speed_max)).otherwise((value <= 0) | (value > limits.accuracy_max))
 
 
-def _metres(a: str, b: str) -> Column:
-    return haversine(F.col(f"{a}.lng"), F.col(f"{a}.lat"), F.col(f"{b}.lng"), F.col(f"{b}.lat"))
+_FIX = ["trip_pseudonym", "t", "lng", "lat", "speed", "accuracy"]
+_FIELDS = ("speed", "accuracy")
+_HOUR = 3_600_000
 
 
-def _fixes(observations: DataFrame, limits: Limits) -> DataFrame:
-    """Distinct fixes with their distances, each in its own stretch of time and as context in the next where it lies near the edge."""
+def _context(rows: DataFrame, limits: Limits) -> DataFrame:
+    """(trip, hour since the epoch) with its row count, the trip's count per field and the fences of each field.
+
+    One sketch per trip and hour, pre-aggregated in every task, merged to the hour of the day and to the trip.
+    """
+    good = {f: F.when(~impossible(F.lit(f), F.col(f), limits), F.col(f)) for f in _FIELDS}
+    hours = rows.groupBy("trip_pseudonym", F.floor(F.col("t") / _HOUR).alias("hour")).agg(F.count("*").alias("rows"), *[F.kll_sketch_agg_double(good[f]).alias(f) for f in _FIELDS])
+    hours = materialize(hours.withColumn("of_day", F.pmod("hour", F.lit(24))), "sketches")
+    merge = lambda as_: [F.kll_merge_agg_double(f).alias(f"{f}_{as_}") for f in _FIELDS]
+    out = hours.select("trip_pseudonym", "hour", "of_day", "rows").join(hours.groupBy("trip_pseudonym", "of_day").agg(*merge("daily")), ["trip_pseudonym", "of_day"])
+    out = out.join(hours.groupBy("trip_pseudonym").agg(*merge("trip")), ["trip_pseudonym"])
+    columns = ["trip_pseudonym", "hour", "rows"]
+    for f in _FIELDS:
+        used = F.when(F.kll_sketch_get_n_double(f"{f}_daily") >= limits.least_in_hour, F.col(f"{f}_daily")).otherwise(F.col(f"{f}_trip"))
+        some = F.kll_sketch_get_n_double(f"{f}_trip") > 0
+        q = [F.when(some, F.kll_sketch_get_quantile_double(used, F.lit(p))) for p in (0.25, 0.75)]
+        out = out.withColumns({f"{f}_q1": q[0], f"{f}_q3": q[1], f"{f}_n": F.kll_sketch_get_n_double(f"{f}_trip")})
+        width = F.col(f"{f}_q3") - F.col(f"{f}_q1")
+        out = out.withColumns({f"{f}_low": F.col(f"{f}_q1") - limits.fence * width, f"{f}_high": F.col(f"{f}_q3") + limits.fence * width})
+        columns += [f"{f}_low", f"{f}_high", f"{f}_n"]
+    return materialize(out.select(*columns), "context")
+
+
+_OVER = "over (partition by trip_pseudonym, chunk order by t, kind, lng, lat, speed, accuracy, id)"
+
+
+def _shift(column: str, k: int) -> Column:
+    return F.expr(f"{'lag' if k < 0 else 'lead'}({column}, {abs(k)}) ignore nulls {_OVER}")
+
+
+def _stretches(rows: DataFrame, context: DataFrame, limits: Limits) -> DataFrame:
+    """Rows and the fences of their hours, brought together by (trip, chunk)."""
     halo = 2 * limits.gap_ms
-    own = F.floor(F.col("t") / limits.chunk_ms)
-    same = ["trip_pseudonym", "t", "lng", "lat", "speed", "accuracy"]
-    rows = observations.where("t is not null and id is not null and trip_pseudonym is not null").groupBy(*same).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    chunks = F.array_distinct(F.array(own, F.floor((F.col("t") - halo) / limits.chunk_ms), F.floor((F.col("t") + halo) / limits.chunk_ms)))
-    rows = rows.withColumn("chunk", F.explode(chunks)).withColumn("own", F.col("chunk") == own)
-    w = W.partitionBy("trip_pseudonym", "chunk").orderBy(*same[1:])
-    at = F.struct("t", "lng", "lat")
-    rows = rows.withColumns({"before": F.lag(at).over(w), "after": F.lead(at).over(w), "here": at})
-
-    def near(a: str, b: str, value: Column) -> Column:
-        return F.when(F.col(f"{b}.t") - F.col(f"{a}.t") <= limits.gap_ms, value)
-
-    return rows.select(
-        "trip_pseudonym", "chunk", "own", "t", "lng", "lat", "speed", "accuracy", "id", "copies",
-        near("before", "here", F.col("t") - F.col("before.t")).alias("dt"),
-        near("before", "here", _metres("before", "here")).alias("d_in"),
-        near("here", "after", _metres("here", "after")).alias("d_out"),
-        near("before", "after", _metres("before", "after")).alias("chord"),
-    )
-
-
-def _readings(fixes: DataFrame) -> DataFrame:
-    pairs = [F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in ("speed", "accuracy")]
-    kept = ["trip_pseudonym", "chunk", "own", "t", "lng", "lat", "dt", "d_in", "d_out", "chord", "id", "copies"]
-    return fixes.withColumn("reading", F.explode(F.array(*pairs))).where("reading.value is not null").select(*kept, "reading.field", "reading.value")
-
-
-def _context(readings: DataFrame, limits: Limits) -> DataFrame:
-    """Fences and the usual time step for each (trip, field, chunk), from sketches merged to the hour of the day and to the trip."""
-    sketches = readings.where("own").groupBy("trip_pseudonym", "field", "chunk").agg(
-        F.kll_sketch_agg_double("value").alias("sketch"), F.kll_sketch_agg_double(F.coalesce(F.col("dt"), F.lit(0)).cast("double")).alias("steps")
+    chunk_of = lambda t: F.floor(t / limits.chunk_ms)
+    t = F.col("t")
+    rows = rows.withColumns({"kind": F.lit(1), "chunk": F.explode(F.array_distinct(F.array(chunk_of(t), chunk_of(t - halo), chunk_of(t + halo))))})
+    fences = [f"{f}_{e}" for f in _FIELDS for e in ("low", "high")]
+    starts = F.col("hour") * _HOUR
+    marks = context.select("trip_pseudonym", starts.alias("t"), F.lit(0).alias("kind"), chunk_of(starts).alias("chunk"), *fences)
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    w = W.partitionBy("trip_pseudonym", "chunk").orderBy("t", "kind", "lng", "lat", "speed", "accuracy", "id")
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    reading = F.struct("kind", *_FIX[1:])
+    both = both.withColumns({"same": F.lag(reading).over(w).eqNullSafe(reading), **{f: F.last(f, True).over(so_far) for f in fences}}).where("kind = 1")
+    both = both.withColumn("first", ~F.col("same")).withColumn("own", F.col("chunk") == chunk_of(t))
+    columns = {"place": F.when(F.col("first") & F.col("lng").isNotNull() & F.col("lat").isNotNull(), F.struct("t", "lng", "lat"))}
+    for f in _FIELDS:
+        columns[f"{f}_bad"] = F.coalesce(impossible(F.lit(f), F.col(f), limits), F.lit(False))
+        columns[f"{f}_ok"] = F.when(F.col("first") & F.col(f).isNotNull() & ~F.coalesce(impossible(F.lit(f), F.col(f), limits), F.lit(False)), F.struct("t", F.col(f).cast("double").alias("v")))
+    return both.withColumns(columns)
+
+
+def _spikes(rows: DataFrame, limits: Limits) -> DataFrame:
+    """rows with speed_spike and accuracy_spike, false for all but the first of equal copies."""
+    rows = rows.withColumns({"before": _shift("place", -1), "after": _shift("place", 1), **{f"{f}{k}": _shift(f"{f}_ok", k) for f in _FIELDS for k in (-2, -1, 1, 2)}})
+
+    def metres(a: str, b: str) -> Column:
+        return F.when(F.col(f"{b}.t") - F.col(f"{a}.t") <= limits.gap_ms, haversine(F.col(f"{a}.lng"), F.col(f"{a}.lat"), F.col(f"{b}.lng"), F.col(f"{b}.lat")))
+
+    rows = rows.withColumns({"d_in": metres("before", "place"), "d_out": metres("place", "after"), "chord": metres("before", "after")})
+    apart = F.col("place.t") - F.col("before.t")
+    whole = W.partitionBy("trip_pseudonym", "chunk")
+    rows = rows.withColumn("step_s", F.percentile_approx(F.when((apart > 0) & (apart <= limits.gap_ms), apart), 0.5, 200).over(whole) / 1000.0)
+    for f in _FIELDS:
+        rows = rows.withColumn("around", F.array_sort(F.array_compact(F.array(*[F.when(F.abs(F.col(f"{f}{k}.t") - F.col("t")) <= limits.gap_ms, F.col(f"{f}{k}.v")) for k in (-2, -1, 1, 2)])))).withColumn("many", F.size("around"))
+        value = F.col(f"{f}_ok.v")
+        # one of the neighbours may be false itself: the second from either end counts
+        high = F.expr("case when many >= 3 then around[many - 2] when many > 0 then around[many - 1] end")
+        low = F.expr("case when many >= 3 then around[1] when many > 0 then around[0] end")
+        usual = F.expr("case when many = 0 then null when many % 2 = 1 then around[many div 2] else (around[many div 2 - 1] + around[many div 2]) / 2 end")
+        if f == "speed":
+            driven = [F.when((F.col("step_s") > 0) & (F.col(c) / F.col("step_s") / k <= limits.speed_max), F.col(c) / F.col("step_s") / k) for c, k in (("d_in", 1), ("d_out", 1), ("chord", 2))]
+            rows = rows.withColumns({"top": F.greatest(high, driven[0], driven[1]), "bottom": F.least(low, *driven), "usual": usual})
+            slack, drop = limits.speed_slack, limits.speed_drop
+            up = value - F.col("top") > slack[0] + slack[1] * F.col("top")
+            down = (F.col("bottom") - value > F.greatest(F.lit(drop[0]), drop[1] * F.col("bottom"))) & (F.col("bottom") > limits.speed_borne * F.col("usual"))
+            tolerance = F.least(slack[0] + slack[1] * F.col("usual"), 0.4 * F.col("usual"))
+        else:
+            rows = rows.withColumns({"top": high, "bottom": low, "usual": usual})
+            up, down, tolerance = value > limits.accuracy_up * F.col("top"), value < limits.accuracy_down * F.col("bottom"), 0.4 * F.col("usual")
+        outside = (value < F.col(f"{f}_low")) | (value > F.col(f"{f}_high"))
+        changes = F.abs(value - F.col("usual")) > tolerance
+        rows = rows.withColumn(f"{f}_spike", F.coalesce((outside | changes) & (up | down), F.lit(False)))
+    return rows.drop("around", "many", "top", "bottom", "usual", "before", "after", "d_in", "d_out", "chord", *[f"{f}{k}" for f in _FIELDS for k in (-2, -1, 1, 2)])
+
+
+def _runs(rows: DataFrame, limits: Limits) -> DataFrame:
+    """Own rows with, per field, the run of one value they are in: its start, its length and whether it goes on beyond the chunk."""
+    rows = rows.withColumns({f"{f}_quiet": F.when(~F.col(f"{f}_spike"), F.col(f"{f}_ok")) for f in _FIELDS})
+    rows = rows.withColumns({f"{f}_prior": _shift(f"{f}_quiet", -1) for f in _FIELDS})
+    rows = rows.where("own")
+    goes_on = {f: F.coalesce((F.col(f"{f}_prior.v") == F.col(f"{f}_quiet.v")) & (F.col("t") - F.col(f"{f}_prior.t") <= limits.gap_ms), F.lit(False)) for f in _FIELDS}
+    w = W.partitionBy("trip_pseudonym", "chunk").orderBy("t", "kind", "lng", "lat", "speed", "accuracy", "id")
+    so_far, whole = w.rowsBetween(W.unboundedPreceding, 0), W.partitionBy("trip_pseudonym", "chunk")
+    rows = rows.withColumns({f"{f}_at": F.count(f"{f}_quiet").over(so_far) for f in _FIELDS} | {f"{f}_joins": goes_on[f] for f in _FIELDS})
+    starts = {f: F.when(F.col(f"{f}_quiet").isNotNull() & (~F.col(f"{f}_joins") | (F.col(f"{f}_at") == 1)), F.struct(F.col(f"{f}_at").alias("at"), F.col(f"{f}_joins").alias("joins"))) for f in _FIELDS}
+    rows = rows.withColumns({f"{f}_start": starts[f] for f in _FIELDS})
+    rows = rows.withColumns(
+        {f"{f}_run": F.last(f"{f}_start", True).over(so_far) for f in _FIELDS}
+        | {f"{f}_next": _shift(f"{f}_start", 1) for f in _FIELDS}
+        | {f"{f}_count": F.count(f"{f}_quiet").over(whole) for f in _FIELDS}
+        | {f"{f}_hit": F.last(F.when(F.col("first"), F.col(f"{f}_spike")), True).over(so_far) for f in _FIELDS}
     )
-    sketches = sketches.withColumn("hour", F.pmod(F.floor(F.col("chunk") * limits.chunk_ms / 3_600_000), F.lit(24)))
-    hours = sketches.groupBy("trip_pseudonym", "field", "hour").agg(F.kll_merge_agg_double("sketch").alias("hourly"))
-    trips = sketches.groupBy("trip_pseudonym", "field").agg(F.kll_merge_agg_double("sketch").alias("overall"), F.kll_merge_agg_double("steps").alias("steps"))
-    rows = sketches.select("trip_pseudonym", "field", "chunk", "hour").join(hours, ["trip_pseudonym", "field", "hour"]).join(trips, ["trip_pseudonym", "field"])
-    used = F.when(F.kll_sketch_get_n_double("hourly") >= limits.least_in_hour, F.col("hourly")).otherwise(F.col("overall"))
-    rows = rows.select("trip_pseudonym", "field", "chunk", used.alias("used"), (F.kll_sketch_get_quantile_double("steps", F.lit(0.5)) / 1000.0).alias("step_s"))
-    rows = rows.withColumns({"q1": F.kll_sketch_get_quantile_double("used", F.lit(0.25)), "q3": F.kll_sketch_get_quantile_double("used", F.lit(0.75))})
-    width = F.col("q3") - F.col("q1")
-    return rows.select("trip_pseudonym", "field", "chunk", "step_s", (F.col("q1") - limits.fence * width).alias("low"), (F.col("q3") + limits.fence * width).alias("high"))
-
-
-def _spikes(plausible: DataFrame, context: DataFrame, limits: Limits) -> DataFrame:
-    """plausible with the column spike."""
-    w = W.partitionBy("trip_pseudonym", "chunk", "field").orderBy("t", "value", "lng", "lat")
-    rows = plausible
-    for k in (-2, -1, 1, 2):
-        other_t, other = F.lag("t", -k).over(w), F.lag("value", -k).over(w)
-        rows = rows.withColumn(f"n{k}", F.when(F.abs(other_t - F.col("t")) <= limits.gap_ms, other))
-    rows = rows.join(context, ["trip_pseudonym", "chunk", "field"])
-    around = F.array_sort(F.array_compact(F.array(*[F.col(f"n{k}") for k in (-2, -1, 1, 2)])))
-    rows = rows.withColumn("around", around).withColumn("many", F.size("around"))
-    value, is_speed = F.col("value"), F.col("field") == "speed"
-    # one of the neighbours may be false itself: the second from the end counts
-    high = F.expr("case when many >= 3 then around[many - 2] when many > 0 then around[many - 1] end")
-    low = F.expr("case when many >= 3 then around[1] when many > 0 then around[0] end")
-    usual = F.expr("case when many = 0 then null when many % 2 = 1 then around[many div 2] else (around[many div 2 - 1] + around[many div 2]) / 2 end")
-    driven = [F.when((F.col("step_s") > 0) & (F.col(c) / F.col("step_s") / k <= limits.speed_max), F.col(c) / F.col("step_s") / k) for c, k in (("d_in", 1), ("d_out", 1), ("chord", 2))]
-    rows = rows.withColumns({"top": F.when(is_speed, F.greatest(high, driven[0], driven[1])).otherwise(high), "bottom": F.when(is_speed, F.least(low, *driven)).otherwise(low), "usual": usual})
-    slack, drop = limits.speed_slack, limits.speed_drop
-    up = F.when(is_speed, value - F.col("top") > slack[0] + slack[1] * F.col("top")).otherwise(value > limits.accuracy_up * F.col("top"))
-    down = F.when(is_speed, (F.col("bottom") - value > F.greatest(F.lit(drop[0]), drop[1] * F.col("bottom"))) & (F.col("bottom") > 0.65 * F.col("usual"))).otherwise(value < limits.accuracy_down * F.col("bottom"))
-    tolerance = F.when(is_speed, slack[0] + slack[1] * F.col("usual")).otherwise(0.5 * F.col("usual"))
-    before, after = value - F.coalesce("n-1", "n-2", "n1", "n2"), value - F.coalesce("n1", "n2", "n-1", "n-2")
-    sudden = (F.abs(value - F.col("usual")) > F.least(tolerance, F.abs(F.col("usual")) * 0.4)) & (before * after > 0)
-    outside = (value < F.col("low")) | (value > F.col("high"))
-    return rows.withColumn("spike", F.coalesce((outside | sudden | (F.abs(value - F.col("usual")) > tolerance)) & (up | down), F.lit(False)))
-
-
-def _frozen(quiet: DataFrame, limits: Limits) -> DataFrame:
-    """The readings of quiet that belong to a frozen stretch."""
+    return rows
+
+
+def _judged(rows: DataFrame, limits: Limits) -> DataFrame:
+    """One row per reading that is impossible, a spike, or in a run that is long or reaches the edge of its stretch of time."""
+    fields = []
+    for f in _FIELDS:
+        ends = F.coalesce(F.col(f"{f}_next.at"), F.col(f"{f}_count") + 1)
+        size, run = ends - F.col(f"{f}_run.at"), F.col(f"{f}_run.at")
+        state = F.when(F.col(f).isNull(), None).when(F.col(f"{f}_bad"), "impossible").when(F.col(f"{f}_hit"), "spike").when((size >= limits.frozen_rows) | (run == 1) | (ends > F.col(f"{f}_count")), "run")
+        fields.append(F.struct(F.lit(f).alias("field"), state.alias("state"), run.alias("run"), size.alias("size"), F.col(f"{f}_run.joins").alias("joins"), F.col(f).cast("double").alias("value")))
+    rows = rows.select("id", "first", *_FIX, "chunk", F.explode(F.array(*fields)).alias("r")).where("r.state is not null")
+    return rows.select("id", "first", *_FIX, "chunk", "r.*")
+
+
+def _frozen(judged: DataFrame, context: DataFrame, limits: Limits) -> DataFrame:
+    """The readings in runs that belong to a frozen stretch."""
     keys = ["trip_pseudonym", "field"]
-    w = W.partitionBy(*keys, "chunk").orderBy("t", "value", "lng", "lat")
-    starts = (F.lag("value").over(w).eqNullSafe(F.col("value")) & (F.col("t") - F.lag("t").over(w) <= limits.gap_ms)) != F.lit(True)
-    rows = quiet.withColumn("start", F.coalesce(starts, F.lit(True)).cast("long")).where("own")
-    rows = rows.withColumn("local", F.sum("start").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    parts = rows.groupBy(*keys, "chunk", "local").agg(
-        F.count("*").alias("rows"), F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lng").alias("w"), F.max("lng").alias("e"), F.min("value").alias("value"), F.max("start").alias("opens")
+    one = F.col("first")
+    in_runs = judged.where("state = 'run'")
+    parts = in_runs.groupBy(*keys, "chunk", "run").agg(
+        F.sum(one.cast("long")).alias("rows"), F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lng").alias("w"), F.max("lng").alias("e"), F.max((~F.col("joins")).cast("long")).alias("opens")
     )
-    # runs go on over the stretches of time: number them by the starts that came before
-    totals = parts.groupBy(*keys, "chunk").agg(F.sum("opens").alias("opened"))
-    before = W.partitionBy(*keys).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*keys, "chunk", F.coalesce(F.sum("opened").over(before), F.lit(0)).alias("offset"))
-    parts = parts.join(totals, [*keys, "chunk"]).withColumn("run", F.col("offset") + F.col("local"))
-    runs = parts.groupBy(*keys, "run").agg(F.sum("rows").alias("rows"), F.min("s").alias("s"), F.max("n").alias("n"), F.min("w").alias("w"), F.max("e").alias("e"), F.min("value").alias("value"))
+    # a run goes on in the next stretch of time where its first part there joins: few parts per (trip, chunk)
+    chain = W.partitionBy(*keys).orderBy("chunk", "run").rowsBetween(W.unboundedPreceding, 0)
+    parts = parts.withColumn("whole", F.sum("opens").over(chain))
+    runs = parts.groupBy(*keys, "whole").agg(F.sum("rows").alias("rows"), F.min("s").alias("s"), F.max("n").alias("n"), F.min("w").alias("w"), F.max("e").alias("e"))
     long = F.col("rows") >= limits.frozen_rows
-    trips = runs.groupBy(*keys).agg(F.sum("rows").alias("all_rows"), F.sum(F.when(~long, F.col("rows")).otherwise(0)).alias("varied"), F.count(F.when(~long, 1)).alias("short_runs"))
+    held = runs.groupBy(*keys).agg(F.sum(F.when(long, F.col("rows")).otherwise(0)).alias("held"))
+    hits = judged.where("state = 'spike' and first").groupBy(*keys).agg(F.count("*").alias("hits"))
+    counts = context.groupBy("trip_pseudonym").agg(*[F.max(f"{f}_n").alias(f) for f in _FIELDS]).select("trip_pseudonym", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("all")) for f in _FIELDS])).alias("c")).select("trip_pseudonym", "c.*")
+    trips = counts.join(held, keys).join(hits, keys, "left").withColumn("varied", F.col("all") - F.col("held") - F.coalesce("hits", F.lit(0)))
+    varies = trips.where((F.col("varied") >= limits.varied_rows) & (F.col("varied") >= limits.varied_share * F.col("all"))).select(*keys)
     moved = haversine("w", "s", "e", "n") > limits.frozen_move_m
-    varies = (F.col("varied") >= limits.varied_rows) & (F.col("varied") >= limits.varied_share * F.col("all_rows")) & (F.col("short_runs") >= 2)
-    stuck = runs.where(long & moved).join(trips, keys).where(varies).select(*keys, "run")
-    found = parts.join(stuck, [*keys, "run"], "left_semi").select(*keys, "chunk", "local")
-    return rows.join(found, [*keys, "chunk", "local"], "left_semi")
+    stuck = parts.join(runs.where(long & moved).join(varies, keys, "left_semi").select(*keys, "whole"), [*keys, "whole"], "left_semi")
+    return in_runs.join(stuck.select(*keys, "chunk", "run"), [*keys, "chunk", "run"], "left_semi")
 
 
 def implausible_readings(observations: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(id, field, reason) of the speed and accuracy readings that cannot be true, reason being impossible, spike or frozen.
 
     Null readings are never flagged; NaN and infinite ones are impossible. Rows without id, trip or time
-    are left out. Fixes sent again (all of trip, time, place and readings alike) are judged once and
-    every copy is flagged by its own id; order of rows does not matter. An empty table gives no rows.
+    are left out. Fixes sent again (trip, time, place and readings all alike) are judged once and every
+    copy is flagged by its own id; the order of rows does not matter. An empty table gives no rows.
     Positions that jump are no evidence. Columns other than those used are ignored.
     """
-    readings = materialize(_readings(_fixes(observations.select("id", "trip_pseudonym", "t", "lng", "lat", "speed", "accuracy"), limits)), "readings")
-    false = impossible(F.col("field"), F.col("value"), limits)
-    judged = materialize(_spikes(readings.where(~false), _context(readings.where(~false), limits), limits).select(*readings.columns, "spike"), "judged")
-    frozen = _frozen(judged.where("not spike"), limits)
-    one = ["id", "copies", "trip_pseudonym", "t", "field", "value"]
-    flagged = (
-        readings.where("own").where(false).select(*one, F.lit("impossible").alias("reason"))
-        .unionByName(judged.where("own and spike").select(*one, F.lit("spike").alias("reason")))
-        .unionByName(frozen.select(*one, F.lit("frozen").alias("reason")))
-    )
-    flagged = materialize(flagged, "flagged")
-    again = flagged.where("copies > 1").withColumnRenamed("id", "first_id")
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in ("speed", "accuracy")]))
-    copies = observations.where("t is not null and id is not null").select("id", "trip_pseudonym", "t", pairs.alias("x")).select("id", "trip_pseudonym", "t", "x.field", "x.value")
-    repeated = copies.join(materialize(again.select("trip_pseudonym", "t", "field", "value", "reason"), "again"), ["trip_pseudonym", "t", "field", "value"])
-    return flagged.select("id", "field", "reason").unionByName(repeated.select("id", "field", "reason")).distinct()
+    rows = observations.select("id", *_FIX).where("t is not null and id is not null and trip_pseudonym is not null")
+    context = _context(rows, limits)
+    chunk = lambda t: F.floor(t / limits.chunk_ms)
+    crowded = context.groupBy("trip_pseudonym", chunk(F.col("hour") * _HOUR).alias("chunk")).agg(F.sum("rows").alias("rows")).where(F.col("rows") > limits.heavy_rows).select("trip_pseudonym", "chunk")
+    crowded = materialize(crowded, "crowded")
+    heavy = None
+    if not crowded.isEmpty():
+        keyed = rows.withColumn("chunk", chunk(F.col("t")))
+        heavy = keyed.join(crowded, ["trip_pseudonym", "chunk"], "left_semi").drop("chunk")
+        merged = heavy.groupBy(*_FIX).agg(F.min("id").alias("id"))
+        rows = keyed.join(crowded, ["trip_pseudonym", "chunk"], "left_anti").drop("chunk").unionByName(merged)
+    judged = materialize(_judged(_runs(_spikes(_stretches(rows, context, limits), limits), limits), limits), "judged")
+    flagged = judged.where("state <> 'run'").unionByName(_frozen(judged, context, limits).select(*judged.columns).withColumn("state", F.lit("frozen")))
+    out = flagged.select("id", "field", F.col("state").alias("reason"))
+    if heavy is not None:
+        marks = materialize(flagged.withColumn("chunk", chunk(F.col("t"))).join(crowded, ["trip_pseudonym", "chunk"], "left_semi").select(*_FIX, "field", F.col("state").alias("reason")), "heavy")
+        copies = heavy.alias("h").join(marks.alias("m"), (F.col("h.trip_pseudonym") == F.col("m.trip_pseudonym")) & (F.col("h.t") == F.col("m.t")) & F.expr(" and ".join(f"h.{c} <=> m.{c}" for c in _FIX[2:])))
+        out = out.unionByName(copies.select("h.id", "m.field", "m.reason"))
+    return out.distinct()
