@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.place_groups import found_groups, place_groups
+from cairn.llm.place_match import match_places
 from cairn.storage import table
 
 
@@ -16,7 +17,15 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return place_groups(table(spark, folder, "canonical_poi"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_matches(spark, folder).select("osm_key", "overture_key")
+
+
+def p2_matches(spark: SparkSession, folder: str) -> DataFrame:
+    return match_places(table(spark, folder, "poi_osm"), table(spark, folder, "poi_overture"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_matches": p2_matches}
 
 _P1 = r"""
 WITH RECURSIVE entries AS (
