@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.llm.mojibake import garbled_documents
 from cairn.llm.place_groups import found_groups, place_groups
 from cairn.llm.place_match import match_places
 from cairn.storage import table
@@ -25,7 +26,15 @@ def p2_matches(spark: SparkSession, folder: str) -> DataFrame:
     return match_places(table(spark, folder, "poi_osm"), table(spark, folder, "poi_overture"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_matches": p2_matches}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled_documents(table(spark, folder, "documents")).select("doc_id").distinct()
+
+
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled_documents(table(spark, folder, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_matches": p2_matches, "p8_found": p8_found, "p8_restored": p8_restored}
 
 _P1 = r"""
 WITH RECURSIVE entries AS (
