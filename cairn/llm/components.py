@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cairn.storage import materialize
 
 #: Steps a cluster may grow in one round; head starts are cut off there.
-GROWTH_STEPS = 3
+GROWTH_STEPS = 5
 #: Rate of the exponential head starts, per step.
-START_RATE = 0.45
+START_RATE = 0.3
 #: Parts into which the members of one shared feature are split before they are linked.
 HUB_PARTS = 64
 
@@ -45,13 +45,14 @@ def _head_start(vertex: str, seed: int) -> Column:
 
 def _decompose(edges: DataFrame, seed: int) -> DataFrame:
     """(v, center) for every vertex with an edge; v and center are always in one component."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    reached = both.select(F.col("src").alias("v")).distinct().select("v", F.struct(_head_start("v", seed).alias("at"), F.col("v").alias("center")).alias("best"))
+    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    both = edges.select(ends.alias("e")).select("e.src", "e.dst", F.lit(1.0).alias("step"))
+    vertices = both.groupBy(F.col("src").alias("v")).agg(F.lit(0.0).alias("step"))
+    reached = vertices.select("v", F.struct(_head_start("v", seed).alias("at"), F.col("v").alias("center")).alias("best"))
+    both = both.unionByName(vertices.select(F.col("v").alias("src"), F.col("v").alias("dst"), "step"))  # who stays keeps what it has
     for _ in range(GROWTH_STEPS):
-        arriving = both.join(reached, both.src == reached.v).select(
-            F.col("dst").alias("v"), F.struct((F.col("best.at") + 1).alias("at"), F.col("best.center").alias("center")).alias("best")
-        )
-        reached = reached.unionByName(arriving.where(F.col("best.at") < GROWTH_STEPS)).groupBy("v").agg(F.min("best").alias("best"))
+        at = F.struct((F.col("best.at") + F.col("step")).alias("at"), F.col("best.center").alias("center"))
+        reached = both.join(reached, both.src == reached.v).select(F.col("dst").alias("v"), at.alias("best")).groupBy("v").agg(F.min("best").alias("best"))
     return reached.select("v", F.col("best.center").alias("center"))
 
 

@@ -104,10 +104,10 @@ def parse(name: str | None) -> tuple[str, str, str, str]:
             padded = padded.replace(f" {word} ", " ", 1)
             kind = kind or k
     words = padded.split()
-    if len(words) > 1 and words[0] in _ARTICLES:
+    if words and words[0] in _ARTICLES and (len(words) > 1 or words[0] in ("al", "el")):
         words = words[1:]
-    elif words and words[0].startswith("ال") and len(words[0]) > 4:
-        words[0] = words[0][2:]
+    elif words and words[0].startswith("ال"):
+        words = [words[0][2:], *words[1:]] if len(words[0]) > 2 else words[1:]
     return " ".join(words), kind, number, aside
 
 

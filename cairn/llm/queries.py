@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cairn.llm.mojibake import garbled_documents
 from cairn.llm.place_groups import found_groups, place_groups
 from cairn.llm.place_match import match_places
+from cairn.llm.survivor import surviving_records, surviving_values
 from cairn.storage import table
 
 
@@ -26,6 +27,14 @@ def p2_matches(spark: SparkSession, folder: str) -> DataFrame:
     return match_places(table(spark, folder, "poi_osm"), table(spark, folder, "poi_overture"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return surviving_values(table(spark, folder, "canonical_poi")).select("cluster_id", "field", "canonical_id")
+
+
+def p3_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    return surviving_records(table(spark, folder, "canonical_poi"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return garbled_documents(table(spark, folder, "documents")).select("doc_id").distinct()
 
@@ -34,7 +43,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return garbled_documents(table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_matches": p2_matches, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p3_survivors": p3_survivors, "p8_found": p8_found, "p8_restored": p8_restored}
 
 _P1 = r"""
 WITH RECURSIVE entries AS (
