@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.llm.mixing import mix, shares
 from cairn.llm.mojibake import garbled_documents
+from cairn.llm.packing import fill_report, pack_documents
 from cairn.llm.place_groups import found_groups, place_groups
 from cairn.llm.place_match import match_places
 from cairn.llm.survivor import surviving_records, surviving_values
@@ -35,6 +37,22 @@ def p3_survivors(spark: SparkSession, folder: str) -> DataFrame:
     return surviving_records(table(spark, folder, "canonical_poi"))
 
 
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"))
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_report(pack_documents(table(spark, folder, "documents")))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return shares(p7_mix(spark, folder), table(spark, folder, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return garbled_documents(table(spark, folder, "documents")).select("doc_id").distinct()
 
@@ -43,7 +61,10 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return garbled_documents(table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p3_survivors": p3_survivors, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_groups, p2_found, p2_matches, p3_found, p3_survivors, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_restored)
+}
 
 _P1 = r"""
 WITH RECURSIVE entries AS (
