@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.plans import problems
+from cairn.plans import classify, places, privacy, problems, spatial, traffic
 
-MODULES = [problems]
+MODULES = [problems, classify, spatial, traffic, privacy, places]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return problems.p4_found(spark, folder)
+    return traffic.t6_estimate(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
