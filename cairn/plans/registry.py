@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.plans import classify, places, privacy, problems, spatial, traffic
+from cairn.plans import classify, guidance, places, privacy, problems, routing, spatial, tiles, traffic
 
-MODULES = [problems, classify, spatial, traffic, privacy, places]
+MODULES = [problems, classify, spatial, traffic, privacy, places, guidance, routing, tiles]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
