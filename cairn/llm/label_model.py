@@ -87,7 +87,7 @@ def fit(votes: np.ndarray, counts: np.ndarray, prior: float = 0.2, accuracy: flo
         p = model.posterior(votes - 1)
         weights = np.stack([(1 - p) * counts, p * counts])
         parents = model.parents
-        if step == rounds // 3:
+        if step in (0, rounds // 3):  # at once, before voters that copy each other pass for the truth, and again when accuracies are known
             parents = _tree(votes, weights, least_gain)
         share = float(np.clip(weights[1].sum() / counts.sum(), 1e-4, 1 - 1e-4))
         model = LabelModel(share, parents, _tables(votes, weights, parents))

@@ -17,6 +17,8 @@ REACH_M = 300.0
 #: Side of the blocking cells in degrees; at most REACH_M along either axis up to 40 degrees of latitude, so neighbours suffice.
 CELL = 0.0036
 THRESHOLD = 0.5
+#: Letters up to which a misspelt name is looked up letter by letter.
+LONGEST = 80
 #: Likeness of names below which they are different names, whatever else agrees.
 LEAST_LIKE = 0.6
 
@@ -29,7 +31,8 @@ FEATURES = StructType(
 
 
 def _deletions(text: str) -> set[str]:
-    return {text} | {text[:k] + text[k + 1 :] for k in range(len(text))} if len(text) > 2 else {text}
+    """The text and what is left of it without one letter; texts too long for a name are found by their words instead."""
+    return {text} | {text[:k] + text[k + 1 :] for k in range(len(text))} if 2 < len(text) <= LONGEST else {text}
 
 
 def features_of(key, lon, lat, names, category, brand, address, locality) -> dict:
@@ -111,9 +114,9 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     like = F.greatest("bones_like", "letters_like")
     numbered = lambda a: F.exists(a, lambda v: v.rlike(r"^\d"))
     votes = {
-        "bones": _vote(F.col("bones_like") >= 0.99, F.col("bones_like") < 0.7),
-        "letters": _vote(F.col("letters_like") >= 0.8, F.col("letters_like") < 0.65),
-        "bones_near": _vote(like >= 0.75, like < 0.7),
+        "bones": _vote(F.col("bones_like") >= 0.99, F.col("bones_like") < 0.6),
+        "letters": _vote(F.col("letters_like") >= 0.74, F.col("letters_like") < 0.6),
+        "bones_near": _vote(like >= 0.7, like < 0.65),
         "place_near": _vote(F.col("metres") <= 60, F.col("metres") > 150),
         "kind": _vote(both("kinds") & F.arrays_overlap("a.kinds", "b.kinds"), both("kinds") & ~F.arrays_overlap("a.kinds", "b.kinds")),
         "class": _vote(known("class") & same("class"), known("class") & ~same("class")),
