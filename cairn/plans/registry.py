@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.plans import classify, guidance, places, privacy, problems, routing, sequences, spatial, tiles, traffic
+from cairn.plans import classify, features, guidance, places, privacy, problems, routing, sequences, spatial, tiles, traffic
 
-MODULES = [problems, classify, spatial, traffic, privacy, places, guidance, routing, tiles, sequences]
+MODULES = [problems, classify, spatial, traffic, privacy, places, guidance, routing, tiles, sequences, features]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairn.functions import geo
 from cairn.operators import sequential as S
-from cairn.plans.base import PROBES, Book, lines, picked, pois, probes
+from cairn.plans.base import PROBES, Book, lines, picked, pieces, pois, probes
 from cairn.plans.places import named
-from cairn.plans.privacy import _CUM
+from cairn.operators.spatial import match_points
+from cairn.plans.privacy import _CUM, gate
 from cairn.plans.spatial import _measured
 from cairn.plans.tiles import _BAD, _ENV, _INTENTS, envelope_fault
-from cairn.plans.traffic import matched, valid_probes
+from cairn.plans.traffic import _MATCH, MATCH_M, matched, valid_probes
 from cairn.sources import vector_tiles
 from cairn.storage import shared_folder
 from cairn.streaming import trips as streams
@@ -100,3 +101,38 @@ def l10_encoded_tiles(spark: SparkSession, folder: str) -> DataFrame:
 @book()
 def l11_l22_checked_tiles(spark: SparkSession, folder: str) -> DataFrame:
     return vector_tiles.check_tiles(vector_tiles.bake(tile_features(spark, folder))).groupBy("verdict").agg(F.count("*").alias("tiles"), F.sum("found").alias("features"))
+
+
+@book(
+    """WITH {m} SELECT segment_id, arg_max(CASE WHEN speed_kmh >= 0.6e0 * free_flow_kmh THEN 'free' ELSE 'heavy' END, struct_pack(a := t, b := mt.id)) AS congestion, max(t) AS at FROM mt JOIN v_probe USING (id) JOIN v_seg USING (segment_id) WHERE speed_kmh IS NOT NULL GROUP BY 1""".replace("{m}", _MATCH)
+)
+def t10_stream_states(spark: SparkSession, folder: str) -> DataFrame:
+    """The live state of each segment: every micro-batch of fixes is matched and upserted, the latest fix decides."""
+    schema = spark.read.parquet(f"{folder}/observation.parquet").schema
+    target = f"{shared_folder(spark)}/states-{uuid.uuid4().hex}"
+    sink = streams.upsert_sink(target, ["segment_id"], "rank")
+    roads = pieces(spark, folder)
+
+    def update(batch: DataFrame, epoch: int) -> None:
+        p = batch.select("id", "t", _c("lng").alias("lon"), "lat", (_c("speed") * 3.6).alias("speed_kmh")).where("speed_kmh is not null")
+        hit = match_points(p, roads, MATCH_M).join(p, "id").join(roads.select("segment_id", "free_flow_kmh").distinct(), "segment_id")
+        sink(hit.select("segment_id", F.struct("t", "id").alias("rank"), F.when(_c("speed_kmh") >= 0.6 * _c("free_flow_kmh"), "free").otherwise("heavy").alias("congestion"), _c("t").alias("at")), epoch)
+
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/observation.parquet*")
+    query = stream.writeStream.foreachBatch(update).option("checkpointLocation", f"{target}-checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.lastProgress is None:
+        return spark.createDataFrame([], "segment_id string, congestion string, at long")
+    last = query.lastProgress["batchId"]
+    return spark.read.parquet(f"{target}/version={last}").select("segment_id", "congestion", "at")
+
+
+@book()
+def v19_trace_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of a whole ingest: fixes gated, truncated by the stream, stored by day; one row per source and outcome."""
+    schema = spark.read.parquet(f"{folder}/observation.parquet").schema
+    arrived = spark.readStream.schema(schema).parquet(f"{folder}/observation.parquet*").select("id", _c("trip_pseudonym").alias("trip"), "source", _c("lng").alias("lon"), "lat", "t", "speed", "accuracy")
+    kept = gate(arrived).where("outcome = 'kept'").select("trip", "id", _c("g_t").alias("t"), _c("g_lon").alias("lon"), _c("g_lat").alias("lat"))
+    out = streams.run_to_end(streams.truncate_stream(kept, idle_ms=None), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+    all_ = gate(probes(spark, folder)).select("id", "source", "outcome")
+    return all_.join(out.select("id", _c("outcome").alias("later")), "id", "left").groupBy("source", F.when(_c("outcome") != "kept", _c("outcome")).otherwise(F.coalesce("later", F.lit("pending"))).alias("outcome")).agg(F.count("*").alias("n"))
