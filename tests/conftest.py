@@ -15,5 +15,8 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").config("spark.sql.adaptive.coalescePartitions.enabled", "true").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from cairn.shipping import ship
+
+    ship(s)
     yield s
     s.stop()
