@@ -56,6 +56,24 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, weight: Column | str =
     raise RuntimeError("shortest paths did not converge")
 
 
+def paths_back(found: DataFrame, ends: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(source, target, src, dst): the edges of the paths of shortest_paths to ends (source, target), traced back.
+
+    Each round doubles how far a jump towards the source goes, and marks what lies one jump before the
+    nodes marked so far, so that rounds grow with the logarithm of the longest path. Weights must be positive.
+    """
+    steps = materialize(found.where("before is not null").select("source", "node", "before"), "steps")
+    jump, marked = steps.withColumnRenamed("before", "up"), ends.select("source", "target", F.col("target").alias("node"))
+    for _ in range(max_rounds):
+        further = marked.join(jump, ["source", "node"]).select("source", "target", F.col("up").alias("node"))
+        marked = materialize(marked.unionByName(further).distinct(), "marked")
+        onward = jump.select("source", F.col("node").alias("up"), F.col("up").alias("top"))
+        jump = materialize(jump.join(onward, ["source", "up"]).select("source", "node", F.col("top").alias("up")), "jump")
+        if jump.isEmpty():
+            return marked.join(steps, ["source", "node"]).select("source", "target", F.col("before").alias("src"), F.col("node").alias("dst"))
+    raise RuntimeError("a path does not lead back to its source")
+
+
 def without_barriers(edges: DataFrame, blocked: DataFrame) -> DataFrame:
     """edges (src, dst, ...) that touch no blocked node."""
     return edges.join(blocked.select(F.col("node").alias("src")), "src", "left_anti").join(blocked.select(F.col("node").alias("dst")), "dst", "left_anti")

@@ -13,7 +13,7 @@ from cairn.plans.spatial import _INC, haversine_sql, incident_points
 book = Book()
 QUERIES, SQL = book.queries, book.sql
 _c = F.col
-#: Side of the lattice over which routes are searched; node = row * SIDE + column.
+#: Side of the lattice by which path searches are held against SQL; the roads themselves are searched in roads.py. node = row * SIDE + column.
 SIDE = 9
 _GRID = f"""v_n AS (SELECT i AS node, i // {SIDE} AS r, i % {SIDE} AS c FROM range({SIDE * SIDE}) t(i)),
 v_e AS (SELECT src, dst, 1000 + (src * 7919 + dst * 104729) % 977 AS w FROM (SELECT node AS src, node + 1 AS dst FROM v_n WHERE c < {SIDE - 1} UNION ALL SELECT node, node - 1 FROM v_n WHERE c > 0 UNION ALL SELECT node, node + {SIDE} FROM v_n WHERE r < {SIDE - 1} UNION ALL SELECT node, node - {SIDE} FROM v_n WHERE r > 0) q)"""
@@ -109,33 +109,8 @@ onp AS (SELECT node AS dst, lead(node) OVER (ORDER BY hop) AS src FROM back) SEL
 def r24_path(spark: SparkSession, folder: str) -> DataFrame:
     """Edges and cost of the cheapest path between two corners, followed back through the nodes before."""
     found = graph.shortest_paths(lattice(spark), spark.range(1).select(_c("id").alias("node")))
-    before = {r["node"]: r["before"] for r in found.select("node", "before").collect()}  # one answer over a lattice of fixed size
-    at, path = SIDE * SIDE - 1, []
-    while before[at] is not None:
-        path.append((before[at], at))
-        at = before[at]
-    return spark.createDataFrame(path, "src long, dst long").join(lattice(spark), ["src", "dst"]).agg(F.count("*").alias("hops"), F.sum("w").alias("cost"))
-
-
-def r25_alternative(spark: SparkSession, folder: str, penalty: int = 3) -> DataFrame:
-    """The cheapest path and a second one found with the first one's edges made dearer, with the share they have in common."""
-    e, corner = lattice(spark), spark.range(1).select(_c("id").alias("node"))
-
-    def path(edges: DataFrame) -> list[tuple[int, int]]:
-        before = {r["node"]: r["before"] for r in graph.shortest_paths(edges, corner).select("node", "before").collect()}  # a lattice of fixed size
-        at, out = SIDE * SIDE - 1, []
-        while before[at] is not None:
-            out.append((before[at], at))
-            at = before[at]
-        return out
-
-    first = spark.createDataFrame(path(e), "src long, dst long").withColumn("used", F.lit(1))
-    dearer = e.join(first, ["src", "dst"], "left").select("src", "dst", (_c("w") * F.when(_c("used") == 1, penalty).otherwise(1)).alias("w"))
-    second = spark.createDataFrame(path(dearer), "src long, dst long").join(first, ["src", "dst"], "left").join(e, ["src", "dst"])
-    return second.agg(F.sum("w").alias("cost"), rounded(F.coalesce(F.sum(F.when(_c("used") == 1, _c("w"))), F.lit(0)) / F.sum("w")).alias("overlap"))
-
-
-QUERIES["r25_alternative"] = r25_alternative
+    ends = spark.range(1).select(_c("id").alias("source"), F.lit(SIDE * SIDE - 1).cast("long").alias("target"))
+    return graph.paths_back(found, ends).join(lattice(spark), ["src", "dst"]).agg(F.count("*").alias("hops"), F.sum("w").alias("cost"))
 
 
 @book(f"""WITH {PIECES}, r AS (SELECT segment_id, ascii(substr(segment_id, 5, 1)) % 4 AS route, substr(segment_id, 5, 2) AS road, {r_sql(haversine_sql('lon1', 'lat1', 'lon2', 'lat2'))} AS m FROM v_piece), t AS (SELECT route, road, sum(CAST(m * 1000 AS BIGINT)) AS mm FROM r GROUP BY 1, 2),
