@@ -89,8 +89,13 @@ def _shortened(texts: DataFrame, within: list[str], key: str) -> DataFrame:
     return cut.unionByName(short.join(starts, [*within, key], "left_semi").select(*within, key, "kind")).distinct()
 
 
-def whole_values(places: DataFrame) -> DataFrame:
-    """(cluster_id, field, value, locality) of the text values that are whole."""
+def localities(places: DataFrame) -> DataFrame:
+    """(last): the distinct localities of places, as an address ends in them."""
+    return places.select(F.lower(F.trim("locality")).alias("last")).where("last <> ''").distinct()
+
+
+def whole_values(places: DataFrame, known: DataFrame) -> DataFrame:
+    """(cluster_id, field, value, locality) of the text values that are whole; known: localities of the whole corpus."""
     text = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("name", "name_ar", "address")]))
     values = places.select("cluster_id", "locality", text.alias("x")).select("cluster_id", "x.field", "x.value", "locality").where("value is not null").distinct()
     judged = materialize(_judged(values), "judged")
@@ -99,7 +104,6 @@ def whole_values(places: DataFrame) -> DataFrame:
     by_bones = _shortened(names.where("sound"), ["cluster_id"], "bones").select("cluster_id", "bones", "kind")
     kept = names.where("sound").join(by_letters, ["cluster_id", "letters", "kind"], "left_anti").join(by_bones, ["cluster_id", "bones", "kind"], "left_anti")
     # an address is whole if it names its locality at the end; localities are those the corpus knows
-    known = places.select(F.lower(F.trim("locality")).alias("last")).where("last <> ''").distinct()
     last = F.lower(F.trim(F.element_at(F.split("value", ","), -1)))
     mere = addresses.where("sound").withColumn("last", last).where(F.size(F.split("value", ",")) > 1).join(known, "last", "left_semi")
     return kept.select("cluster_id", "field", "value", "locality").unionByName(mere.select("cluster_id", "field", "value", "locality"))
@@ -154,7 +158,7 @@ def surviving_values(places: DataFrame) -> DataFrame:
     ranked = rows.withColumns({"trust": F.coalesce(trusted, F.lit(-1.0)), "currency": _currency(levels(precedences(rows)))})
     text = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("name", "name_ar", "address")]))
     texts = ranked.select("cluster_id", "canonical_id", "locality", "trust", "extracted_at", "currency", text.alias("x")).select("cluster_id", "canonical_id", "locality", "trust", "extracted_at", "currency", "x.field", "x.value")
-    whole = whole_values(rows)
+    whole = whole_values(rows, localities(places))
     same = [texts[c].eqNullSafe(whole[c]) if c == "locality" else texts[c] == whole[c] for c in ("cluster_id", "field", "value", "locality")]
     texts = texts.join(whole, same, "left_semi")
     numbers = ranked.where("trust >= 0").select("cluster_id", "canonical_id", "locality", "trust", "extracted_at", "currency", F.lit("confidence").alias("field"), F.col("confidence").cast("string").alias("value"))

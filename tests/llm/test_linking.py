@@ -132,3 +132,10 @@ def test_currency_orders_records_without_times(spark):
     assert got["u", "name"] == "b"
     assert survivor.levels([("s", "a", "b"), ("s", "b", "c")]) == {("s", "a"): 0, ("s", "b"): 1, ("s", "c"): 2}
     assert set(survivor.levels([("s", "a", "b"), ("s", "b", "a")]).values()) == {0}
+
+
+def test_address_whole_by_a_locality_of_rows_outside_the_groups(spark):
+    rows = [canon("c1", "a", "Taljo Bank", None, "12 Noor Street, Zone 5, Wawatal", 0.5, locality=None), canon("c1", "b", "Taljo Bank", None, "12 Noor Str", 0.9, locality=None)]
+    address = lambda extra: [r["canonical_id"] for r in survivor.surviving_values(spark.createDataFrame(rows + extra, CANON)).where("field = 'address'").collect()]
+    assert address([]) == []
+    assert address([canon(None, "g", "No Group")]) == ["a"] and address([canon("c9", "h", "Alone")]) == ["a"]
