@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from cairn.functions import geo, solar, tags as T
+from cairn.operators import sequential as S
 from cairn.operators.spatial import bucket_join, islands, padded
-from cairn.plans.base import NOW_MS, PIECES, PROBES, TAGS_SQL, VERTICES, Book, pieces, picked, picked_sql, probes, r_sql, rounded, tags
+from cairn.plans.base import NOW_MS, PIECES, PROBES, TAGS_SQL, VERTICES, Book, pieces, picked, picked_sql, probes, r_sql, rounded, tags, vertices
+from cairn.plans.routing import _KEY, node_key
 from cairn.plans.spatial import _CUM, _OFFSET, _measured, haversine_sql
 from cairn.storage import table
 
@@ -119,6 +121,33 @@ def m6_m9_on_path(spark: SparkSession, folder: str) -> DataFrame:
     return hit.select("segment_id", "id", at.alias("along_m")).groupBy("segment_id", "id").agg(F.min("along_m").alias("along_m"))
 
 
+@book()
+def m6_signals_on_path(spark: SparkSession, folder: str, within: float = 40.0, ahead_m: float = 12.0) -> DataFrame:
+    """Signals by the nearest piece of each line, with the line's bearing ahead of them; those up to 10 m after the last one kept are merged into it."""
+    near = bucket_join(catalog(spark, folder), padded(pieces(spark, folder).drop("free_flow_kmh"), within * 1.2), 0.003)
+    dx, dy = _c("lon2") - _c("lon1"), _c("lat2") - _c("lat1")
+    t = F.when(dx * dx + dy * dy <= 1e-18, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((_c("lon") - _c("lon1")) * dx + (_c("lat") - _c("lat1")) * dy) / (dx * dx + dy * dy))))
+    hit = near.withColumn("t", t).withColumn("off", geo.haversine("lon", "lat", _c("lon1") + _c("t") * dx, _c("lat1") + _c("t") * dy)).where(_c("off") <= within)
+    best = hit.groupBy("segment_id", "id").agg(F.min(F.struct("off", "seq", (_c("t") * geo.haversine("lon1", "lat1", "lon2", "lat2")).alias("m"))).alias("b")).select("segment_id", "id", "b.seq", "b.m")
+    line = _measured(spark, folder).groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lon", "lat", "cum"))).alias("v")).where(F.element_at("v", -1)["cum"] > 0)  # one line, as stored in one row
+    at = best.join(line, "segment_id").withColumn("along", F.get("v", _c("seq"))["cum"] + _c("m"))
+    after = F.filter("v", lambda q: (q["seq"] > _c("seq")) & (q["cum"] >= _c("along") + ahead_m))
+    at = at.withColumn("e", F.coalesce(F.get(after, F.lit(0))["seq"], F.size("v") - 1)).withColumns({"p": F.get("v", _c("e") - 1), "q": F.get("v", _c("e"))})
+    rows = at.select("segment_id", "id", rounded(_c("along"), 1).alias("cum"), rounded(geo.bearing("p.lon", "p.lat", "q.lon", "q.lat"), 1).alias("approach_bearing"))
+    # along is in tenths of a metre: what is just 10 m off is merged too
+    kept = S.scan(rows, ["segment_id"], ["cum", "id"], S.spaced(10.05), "kept boolean", rows.columns).where("kept")
+    return kept.select("segment_id", "id", _c("cum").alias("along_m"), "approach_bearing")
+
+
+@book(f"WITH {VERTICES}, {_CAMS}, n AS (SELECT DISTINCT {_KEY} AS node FROM v_vertex), s AS (SELECT {_KEY} AS node, max(id) AS id FROM cams WHERE lon IS NOT NULL AND lat IS NOT NULL GROUP BY 1) SELECT node, id, CASE WHEN regexp_full_match(id, '(osm:)?n[0-9]+') THEN 'osm:node:' || regexp_extract(id, '([0-9]+)$', 1) ELSE 'signal:' || id END AS source FROM s JOIN n USING (node)")
+def m7_signal_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Signals that stand on a node of the roads, by its exact key, with where they come from; of several on a node the last."""
+    nodes = vertices(spark, folder).select(node_key(_c("lon"), _c("lat")).alias("node")).distinct()
+    signals = catalog(spark, folder).where("lon is not null and lat is not null").groupBy(node_key(_c("lon"), _c("lat")).alias("node")).agg(F.max("id").alias("id"))
+    source = F.when(_c("id").rlike("^(osm:)?n[0-9]+$"), F.concat(F.lit("osm:node:"), F.regexp_extract("id", "([0-9]+)$", 1))).otherwise(F.concat(F.lit("signal:"), _c("id")))
+    return signals.join(nodes, "node", "left_semi").select("node", "id", source.alias("source"))
+
+
 _OPS = ["speed", "red_light", "average speed", None, "toll", "SPEED;red", "bus lane"]
 
 
