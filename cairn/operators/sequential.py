@@ -160,6 +160,26 @@ def greedy_collapse(within_m: float = 250.0) -> Callable[[], Callable]:
     return start
 
 
+def chained_collapse(within_m: float = 250.0) -> Callable[[], Callable]:
+    """Whether a row is kept: not if any row of its key before, kept or not, lies within reach."""
+    side = within_m / 111_000.0
+
+    def start():
+        seen: dict[tuple[int, int], list[tuple[float, float]]] = {}
+
+        def step(row):
+            wide = side / max(0.01, cos(radians(row.lat)))
+            y = int(row.lat // side)
+            reach = range(int((row.lon - wide) // side), int((row.lon + wide) // side) + 1)
+            near = any(metres(a, b, row.lon, row.lat) <= within_m for i in reach for j in (y - 1, y, y + 1) for a, b in seen.get((i, j), ()))
+            seen.setdefault((int(row.lon // side), y), []).append((row.lon, row.lat))
+            return (not near,)
+
+        return step
+
+    return start
+
+
 def spaced(least_m: float = 15.0) -> Callable[[], Callable]:
     """Whether an event along a line is kept: at least so far after the last one kept."""
     def start():

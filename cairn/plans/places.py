@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from cairn.functions import geo, names as N
 from cairn.functions.tags import lookup
+from cairn.operators import sequential as S
 from cairn.operators.spatial import bucket_join, padded
 from cairn.plans.base import PIECES, POIS, Book, pieces, pois, r_sql, rounded
 from cairn.plans.spatial import haversine_sql, incident_points, _INC
@@ -222,6 +223,29 @@ def c4_c6_c7_search(spark: SparkSession, folder: str) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
 
 
+@book()
+def c7_ranked_search(spark: SparkSession, folder: str, most: int = 10, near: tuple[float, float] = (51.2, 25.3)) -> DataFrame:
+    """The best places for each text in the full order, records of one name and category within 250 m of one another in one row.
+
+    Distance counts up to four times less for places of quality; no record here is a road, so the terms for roads are constant.
+    """
+    q = spark.createDataFrame([(x,) for x in QUERIES_TEXT], "q string").withColumn("qn", N.normalize(_c("q"))).withColumn("qs", F.filter(F.split("qn", " "), lambda w: F.length(w) >= 2))
+    quality = F.greatest(F.lit(0.0), F.least(F.lit(1.0), rounded(base_score(family(_c("category")), *[_c(c) for c in ("name", "category", "confidence", "address", "brand")]), 4)))
+    known = {"quality": quality, "category": F.coalesce("category", F.lit("")), "confidence": F.coalesce("confidence", F.lit(1.0))}
+    rows = named(spark, folder).where("lon is not null and lat is not null").withColumns(known)
+    words = q.select("q", "qn", F.explode("qs").alias("x")).withColumn("start", F.substring("x", 1, 2))
+    w = F.explode(F.array_distinct(F.filter(F.split("norm", " "), lambda w: w != ""))).alias("w")
+    starts = rows.select(F.struct("key", "norm", "lon", "lat", "category", "confidence", "quality").alias("p"), w).withColumn("start", F.substring("w", 1, 2))
+    hits = starts.join(words, "start").where("startswith(w, x)").groupBy("q", "qn", "p").agg(F.countDistinct("x").cast("long").alias("coverage")).select("q", "qn", "coverage", "p.*")
+    tier = F.when(_c("norm") == _c("qn"), 0).when(F.expr("startswith(norm, qn)"), 2).when(F.expr("contains(norm, qn)"), 4).otherwise(9)
+    metres = rounded(geo.haversine(near[0], near[1], "lon", "lat", geo.RADIUS_ROUND), 0)
+    ranked = hits.withColumns({"tier": tier, "metres": metres, "effective": metres * (0.25 + 0.75 * (1 - _c("quality")))})
+    ranked = ranked.withColumns({"covered": -_c("coverage"), "worse": -_c("quality"), "unsure": -_c("confidence"), "length": F.length("norm")})
+    order = ["covered", "tier", "effective", "worse", "length", "unsure", "norm", "key"]
+    kept = S.scan(ranked, ["q", "norm", "category"], order, S.chained_collapse(), "kept boolean", ["q", "key", "coverage", "metres", *order[:-1]]).where("kept")
+    return kept.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(*order))).where(_c("rank") <= most).select("q", "key", "coverage", "tier", "metres", "rank")
+
+
 @book(f"WITH {_NORM} SELECT key, regexp_replace(norm, '[aeiou]', '', 'g') AS vowelless, len(regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}]+')) AS words FROM v_n")
 def c2_search_keys(spark: SparkSession, folder: str) -> DataFrame:
     words = F.filter(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
