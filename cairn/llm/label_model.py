@@ -13,8 +13,6 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_SMOOTH = 0.5
-
 
 @dataclass
 class LabelModel:
@@ -34,15 +32,19 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(scores[0] - scores[1], -500, 500)))
 
 
-def _tables(votes: np.ndarray, weights: np.ndarray, parents: list[int]) -> list[np.ndarray]:
-    """weights: [state, pattern]."""
+def _tables(votes: np.ndarray, weights: np.ndarray, parents: list[int], before: list[np.ndarray], denied: list[float]) -> list[np.ndarray]:
+    """weights: [state, pattern]; before: [state, vote] pseudo-counts of each function; denied: bounds of P(no | match)."""
     out = []
     for j, parent in enumerate(parents):
-        table = np.full((2, 3 if parent >= 0 else 1, 3), _SMOOTH)
+        table = np.repeat(before[j][:, None, :], 3 if parent >= 0 else 1, axis=1)
         given = votes[:, parent] if parent >= 0 else np.zeros(len(votes), dtype=np.int64)
         for state in (0, 1):
             np.add.at(table[state], (given, votes[:, j]), weights[state])
-        out.append(table / table.sum(axis=2, keepdims=True))
+        table /= table.sum(axis=2, keepdims=True)
+        over = table[1, :, 0] > denied[j]
+        table[1, over, 1:] *= (1 - denied[j]) / (1 - table[1, over, :1])
+        table[1, over, 0] = denied[j]
+        out.append(table)
     return out
 
 
@@ -74,21 +76,29 @@ def _tree(votes: np.ndarray, weights: np.ndarray, least: float) -> list[int]:
     return parents
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, prior: float = 0.2, accuracy: float = 0.85, rounds: int = 60, least_gain: float = 0.02) -> LabelModel:
-    """Fit to distinct vote patterns and their counts. The first guess takes every function to be right with the given accuracy."""
+def fit(votes: np.ndarray, counts: np.ndarray, prior: float = 0.2, accuracy: float | list[tuple[float, float]] = 0.85, rounds: int = 60, least_gain: float = 0.02, weight: float = 2.0, denied: list[float] | None = None, most: float = 0.9) -> LabelModel:
+    """Fit to distinct vote patterns and their counts.
+
+    accuracy says, for all functions or for each, how often its yes and its no are taken to be right before
+    anything is learnt; this first guess counts like weight observations. denied is the most a function
+    may come to deny true matches: how rarely it does is learnt below that bound, so that a contradiction
+    seen a few times among many agreements is not explained away as noise. most bounds the share of matches
+    for the same reason.
+    """
     votes = np.asarray(votes, dtype=np.int64) + 1
     counts = np.asarray(counts, dtype=float)
     m = votes.shape[1]
-    guess = np.tile(np.array([[[accuracy, 1.0, 1 - accuracy]], [[1 - accuracy, 1.0, accuracy]]]), (1, 1, 1))
-    model = LabelModel(prior, [-1] * m, [guess.copy() for _ in range(m)])
+    right = [(accuracy, accuracy)] * m if isinstance(accuracy, float) else accuracy
+    guess = [np.array([[no, 1.0, 1 - yes], [1 - no, 1.0, yes]]) / 2 for yes, no in right]  # [state, vote]
+    model = LabelModel(prior, [-1] * m, [g[:, None, :].copy() for g in guess])
     if len(votes) == 0:
-        return LabelModel(prior, [-1] * m, [np.full((2, 1, 3), 1 / 3) for _ in range(m)])
+        return model
     for step in range(rounds):
         p = model.posterior(votes - 1)
         weights = np.stack([(1 - p) * counts, p * counts])
         parents = model.parents
         if step in (0, rounds // 3):  # at once, before voters that copy each other pass for the truth, and again when accuracies are known
             parents = _tree(votes, weights, least_gain)
-        share = float(np.clip(weights[1].sum() / counts.sum(), 1e-4, 1 - 1e-4))
-        model = LabelModel(share, parents, _tables(votes, weights, parents))
+        share = float(np.clip(weights[1].sum() / counts.sum(), 1e-4, most))
+        model = LabelModel(share, parents, _tables(votes, weights, parents, [weight * g for g in guess], denied or [1.0] * m))
     return model

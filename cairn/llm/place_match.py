@@ -1,12 +1,19 @@
-"""Matching place records of two sources without a common key by label-model linkage (problem 2)."""
+"""Matching place records of two sources without a common key by label-model linkage (problem 2).
+
+Records alike in everything but their key form one class. Classes of the two sources that lie within reach
+and share a spelling, a word or an address are candidates; ten heuristic functions vote on each, and the
+generative model of label_model turns the votes into the confidence that decides. No rule stands beside it:
+different numbers, different kinds of place in the names, or names without likeness are votes like others.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
 from cairn.llm import label_model
 from cairn.llm.place_names import CATEGORY, fold, parse, skeleton, squeeze, variants
@@ -14,29 +21,52 @@ from cairn.storage import materialize
 
 #: Metres beyond which two records are no candidates.
 REACH_M = 300.0
-#: Side of the blocking cells in degrees; at most REACH_M along either axis up to 40 degrees of latitude, so neighbours suffice.
-CELL = 0.0036
+METRES = 111195.08  # per degree of latitude
+#: Side of the blocking cells in metres; a record is looked up in the cells that its reach touches, about two on average.
+CELL_M = 1600.0
 THRESHOLD = 0.5
-#: Letters up to which a misspelt name is looked up letter by letter.
-LONGEST = 80
-#: Likeness of names below which they are different names, whatever else agrees.
-LEAST_LIKE = 0.6
 
 _TEXT, _LIST = StringType(), ArrayType(StringType())
 FEATURES = StructType(
-    [StructField("key", _TEXT), StructField("lon", DoubleType()), StructField("lat", DoubleType())]
-    + [StructField(c, _LIST) for c in ("skeletons", "latin", "kinds", "numbers", "blocks")]
+    [StructField("rec", BinaryType()), StructField("lon", DoubleType()), StructField("lat", DoubleType())]
+    + [StructField(c, _LIST) for c in ("skeletons", "latin", "kinds", "numbers")]
+    + [StructField("blocks", ArrayType(LongType()))]
     + [StructField(c, _TEXT) for c in ("class", "brand", "address", "locality")]
 )
-
-
-def _deletions(text: str) -> set[str]:
-    """The text and what is left of it without one letter; texts too long for a name are found by their words instead."""
-    return {text} | {text[:k] + text[k + 1 :] for k in range(len(text))} if 2 < len(text) <= LONGEST else {text}
-
-
-def features_of(key, lon, lat, names, category, brand, address, locality) -> dict:
-    """Comparable features of one record; skeletons is empty where no name is usable."""
+#: Letters from which spellings are hashed by prefix and suffix instead of being written out; the keys of a spelling do not depend on it.
+_SHORT = 64
+_PRIME, _BASE = (1 << 61) - 1, 1_000_003
+
+
+def _key(kind: str, text: str) -> int:
+    """Blocking key of a spelling: a hash of at most _SHORT letters, else a polynomial of the letters."""
+    if len(text) <= _SHORT:
+        return xxhash.xxh64_intdigest(kind + text) - (1 << 63)
+    h = ord(kind)
+    for c in text:
+        h = (h * _BASE + ord(c)) % _PRIME
+    return h
+
+
+def deletion_keys(kind: str, text: str) -> set[int]:
+    """Blocking keys of a text and of what is left of it without one letter, in time linear in its length."""
+    n = len(text)
+    if n <= 2:
+        return {_key(kind, text)}
+    if n <= _SHORT + 1:
+        return {_key(kind, text)} | {_key(kind, text[:k] + text[k + 1 :]) for k in range(n)}
+    before = [ord(kind)]  # polynomial of the first k letters
+    for c in text:
+        before.append((before[-1] * _BASE + ord(c)) % _PRIME)
+    keys, after, power = {before[-1]}, 0, 1
+    for k in range(n - 1, -1, -1):  # after: the letters behind k, power: the base to their number
+        keys.add((before[k] * power + after) % _PRIME)
+        after, power = (ord(text[k]) * power + after) % _PRIME, power * _BASE % _PRIME
+    return keys
+
+
+def features_of(rec, lon, lat, names, category, brand, address, locality) -> tuple | None:
+    """Comparable features of one record in the order of FEATURES; None where no name is usable."""
     skeletons, latin, kinds, numbers, blocks = set(), set(), set(), set(), set()
     for name in names:
         for text in variants(name):
@@ -53,30 +83,36 @@ def features_of(key, lon, lat, names, category, brand, address, locality) -> dic
             skeletons.add(bones)
             if core.isascii():
                 letters = squeeze(core.replace(" ", ""))
+                if letters not in latin:
+                    blocks |= deletion_keys("l", letters)
                 latin.add(letters)
-                blocks |= {f"l{x}" for x in _deletions(letters)}
-            blocks |= {f"s{x}" for x in _deletions(bones)} | {f"t{x}" for x in map(skeleton, core.split()) if len(x) > 1}
+            blocks |= deletion_keys("s", bones) | {_key("t", x) for x in map(skeleton, core.split()) if len(x) > 1}
+    if not skeletons:
+        return None
     where = fold(address) if address else ""
-    if skeletons and any(c.isdigit() for c in where):
-        blocks.add(f"a{where}")
-    clean = lambda x: sorted(x)
-    return {
-        "key": key, "lon": lon, "lat": lat, "skeletons": clean(skeletons), "latin": clean(latin), "kinds": clean(kinds), "numbers": clean(numbers), "blocks": clean(blocks),
-        "class": CATEGORY.get((category or "").strip().lower()), "brand": skeleton(parse(brand)[0]) if brand else None, "address": where or None,
-        "locality": fold(locality) if locality else (where.split(",")[-1].strip() or None if where else None),
-    }
-
-
-def _features(rows: DataFrame) -> DataFrame:
-    """rows: key, lon, lat, names array, category, brand, address, locality."""
+    if any(c.isdigit() for c in where):
+        blocks.add(_key("a", where))
+    return (
+        rec, lon, lat, sorted(skeletons), sorted(latin), sorted(kinds), sorted(numbers), sorted(blocks), CATEGORY.get((category or "").strip().lower()),
+        skeleton(parse(brand)[0]) if brand else None, where or None, fold(locality) if locality else (where.split(",")[-1].strip() or None if where else None),
+    )
+
+
+_READ = ("lon", "lat", "names", "category", "brand", "address", "locality")
+
+
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(features of each class of records alike but for their key, (rec, key) of its members); rows: key and _READ."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [f.name for f in FEATURES]
         for batch in batches:
-            found = [features_of(r.key, r.lon, r.lat, [n for n in (r.names if r.names is not None else []) if n is not None], r.category, r.brand, r.address, r.locality) for r in batch.itertuples()]
-            yield pd.DataFrame([f for f in found if f["skeletons"]], columns=columns)
+            given = zip(*(batch[c] for c in ("rec", *_READ)))
+            found = (features_of(rec, lon, lat, [n for n in (names if names is not None else []) if n is not None], *rest) for rec, lon, lat, names, *rest in given)
+            yield pd.DataFrame([f for f in found if f is not None], columns=columns)
 
-    usable = rows.where("key is not null and lon is not null and lat is not null and not isnan(lon) and not isnan(lat)").distinct()
-    return usable.mapInPandas(read, FEATURES)
+    usable = rows.where("key is not null and lon is not null and lat is not null and not isnan(lon) and not isnan(lat) and abs(lat) <= 90")
+    usable = usable.withColumn("rec", F.unhex(F.md5(F.to_json(F.struct(*_READ)))))
+    return usable.select("rec", *_READ).dropDuplicates(["rec"]).mapInPandas(read, FEATURES), usable.select("rec", "key").distinct()
 
 
 def _likeness(a: Column, b: Column) -> Column:
@@ -89,26 +125,67 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0).cast("int")
 
 
-def _metres(a: str, b: str) -> Column:
-    dx = (F.col(f"{a}.lon") - F.col(f"{b}.lon")) * F.cos(F.radians(F.col(f"{a}.lat"))) * 111195.08
-    return F.sqrt(F.pow(dx, 2) + F.pow((F.col(f"{a}.lat") - F.col(f"{b}.lat")) * 111195.08, 2))
+def _metres(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Planar metres between near points, over the date line too."""
+    dx = F.abs(lon1 - lon2)
+    dx = F.when(dx > 180, 360 - dx).otherwise(dx) * F.cos(F.radians((lat1 + lat2) / 2)) * METRES
+    return F.sqrt(F.pow(dx, 2) + F.pow((lat1 - lat2) * METRES, 2))
+
+
+_SIDE = CELL_M / METRES  # degrees of latitude
+
+
+def _row(lat: Column) -> Column:
+    return F.floor((lat + 90) / _SIDE)
+
+
+def _around(row: Column) -> Column:
+    """Cells of a row around the earth: as many as are CELL_M wide at least where the row is narrowest."""
+    widest = F.least(F.lit(90.0), F.greatest(F.abs(row * _SIDE - 90), F.abs((row + 1) * _SIDE - 90)))
+    return F.greatest(F.lit(1), F.floor(F.lit(360 / _SIDE) * F.cos(F.radians(widest)))).cast("long")
+
+
+def cell(lon: Column, lat: Column) -> Column:
+    """Key of the blocking cell of a point."""
+    row = _row(lat)
+    return row * (1 << 32) + F.pmod(F.floor((lon + 180) / 360 * _around(row)), _around(row))
+
+
+def cells_within(lon: Column, lat: Column, metres: float) -> Column:
+    """Keys of the cells that hold any point within metres of a point; a right answer at any latitude and over the date line."""
+    def of_row(row: Column) -> Column:
+        n = _around(row)
+        near = F.least(F.lit(89.9999), F.abs(lat) + metres / METRES)
+        span = metres / METRES / F.cos(F.radians(near)) / 360  # share of the circle
+        lo, hi = F.floor(((lon + 180) / 360 - span) * n), F.floor(((lon + 180) / 360 + span) * n)
+        columns = F.sequence(lo, F.least(hi, lo + n - 1))
+        return F.transform(columns, lambda x: row * (1 << 32) + F.pmod(x, n))
+
+    rows = F.sequence(_row(F.greatest(F.lit(-90.0), lat - metres / METRES)), _row(F.least(F.lit(90.0), lat + metres / METRES)))
+    return F.array_distinct(F.flatten(F.transform(rows, of_row)))
 
 
-VOTERS = ("bones", "letters", "bones_near", "place_near", "kind", "class", "address", "locality", "brand")
+#: Functions that vote, how often a yes and a no of each are taken to be right when the fit starts, and the greatest share of true
+#: matches that each may deny. Functions that look at the same letters start low; for contradictions the bound is tight.
+VOTERS = {
+    "bones": (0.7, 0.7, 1.0), "letters": (0.7, 0.7, 1.0), "alike": (0.7, 0.97, 1.0), "place_near": (0.7, 0.7, 1.0), "kind": (0.7, 0.99, 1e-4), "class": (0.7, 0.7, 1.0),
+    "address": (0.8, 0.8, 1.0), "locality": (0.6, 0.6, 1.0), "brand": (0.7, 0.7, 1.0), "number": (0.7, 0.999, 1e-6),
+}
 
 
-def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, reach: float = REACH_M) -> DataFrame:
     """Pairs of feature rows within reach that share a spelling, a word or an address, with the votes on each."""
-    x, y = F.floor(F.col("lon") / CELL), F.floor(F.col("lat") / CELL)
-    a = left.select("key", x.alias("x"), y.alias("y"), F.explode("blocks").alias("block")).select(F.col("key").alias("a_key"), "x", "y", "block")
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    b = right.select("key", x.alias("x0"), y.alias("y0"), "blocks").withColumn("dx", around).withColumn("dy", around)
-    b = b.select(F.col("key").alias("b_key"), (F.col("x0") + F.col("dx")).alias("x"), (F.col("y0") + F.col("dy")).alias("y"), F.explode("blocks").alias("block"))
-    pairs = a.join(b, ["x", "y", "block"]).select("a_key", "b_key").distinct()
-    full = lambda t, side: t.select(F.col("key").alias(f"{side}_key"), F.struct(*[c for c in t.columns if c not in ("key", "blocks")]).alias(side))
-    rows = pairs.join(full(left, "a"), "a_key").join(full(right, "b"), "b_key").withColumn("metres", _metres("a", "b")).where(F.col("metres") <= REACH_M)
+    lon, lat = F.col("lon"), F.col("lat")
+    a = left.select(F.col("rec").alias("a_rec"), lon.alias("ax"), lat.alias("ay"), cell(lon, lat).alias("cell"), F.explode("blocks").alias("block"))
+    b = right.select("rec", "lon", "lat", "blocks", F.explode(cells_within(lon, lat, reach)).alias("cell"))
+    b = b.select(F.col("rec").alias("b_rec"), lon.alias("bx"), lat.alias("by"), "cell", F.explode("blocks").alias("block"))
+    near = _metres(*[F.col(c) for c in ("ax", "ay", "bx", "by")]) <= reach
+    pairs = a.join(b, ["cell", "block"]).where(near).select("a_rec", "b_rec").distinct()
+    full = lambda t, side: t.select(F.col("rec").alias(f"{side}_rec"), F.struct(*[c for c in t.columns if c not in ("rec", "blocks")]).alias(side))
+    rows = pairs.join(full(left, "a"), "a_rec").join(full(right, "b"), "b_rec").withColumn("metres", _metres(*[F.col(c) for c in ("a.lon", "a.lat", "b.lon", "b.lat")]))
     rows = rows.withColumns({"bones_like": _likeness(F.col("a.skeletons"), F.col("b.skeletons")), "letters_like": _likeness(F.col("a.latin"), F.col("b.latin"))})
     both = lambda c: (F.size(f"a.{c}") > 0) & (F.size(f"b.{c}") > 0)
+    meet = lambda c: F.arrays_overlap(f"a.{c}", f"b.{c}")
     known = lambda c: F.col(f"a.{c}").isNotNull() & F.col(f"b.{c}").isNotNull()
     same = lambda c: F.col(f"a.{c}") == F.col(f"b.{c}")
     like = F.greatest("bones_like", "letters_like")
@@ -116,36 +193,39 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     votes = {
         "bones": _vote(F.col("bones_like") >= 0.99, F.col("bones_like") < 0.6),
         "letters": _vote(F.col("letters_like") >= 0.74, F.col("letters_like") < 0.6),
-        "bones_near": _vote(like >= 0.7, like < 0.65),
+        "alike": _vote(like >= 0.7, like < 0.6),
         "place_near": _vote(F.col("metres") <= 60, F.col("metres") > 150),
-        "kind": _vote(both("kinds") & F.arrays_overlap("a.kinds", "b.kinds"), both("kinds") & ~F.arrays_overlap("a.kinds", "b.kinds")),
+        "kind": _vote(both("kinds") & meet("kinds"), both("kinds") & ~meet("kinds")),
         "class": _vote(known("class") & same("class"), known("class") & ~same("class")),
         "address": _vote(known("address") & same("address"), known("address") & ~same("address") & numbered(F.array("a.address")) & numbered(F.array("b.address"))),
         "locality": _vote(known("locality") & same("locality"), known("locality") & ~same("locality")),
         "brand": _vote(known("brand") & same("brand"), known("brand") & ~same("brand")),
+        "number": _vote(both("numbers") & meet("numbers"), both("numbers") & ~meet("numbers")),
     }
-    differ = (both("kinds") & ~F.arrays_overlap("a.kinds", "b.kinds")) | ((F.size("a.numbers") > 0) & (F.size("b.numbers") > 0) & ~F.arrays_overlap("a.numbers", "b.numbers"))
-    differ = differ | (like < LEAST_LIKE)
-    return rows.select("a_key", "b_key", "metres", "bones_like", "letters_like", *[v.alias(f"v_{k}") for k, v in votes.items()], differ.alias("differ"))
+    return rows.select("a_rec", "b_rec", *[votes[v].alias(f"v_{v}") for v in VOTERS])
 
 
-def link(left: DataFrame, right: DataFrame) -> DataFrame:
+def link(left: DataFrame, right: DataFrame, reach: float = REACH_M, fit=label_model.fit) -> DataFrame:
     """(a_key, b_key, confidence) of the pairs of rows (key, lon, lat, names, category, brand, address, locality) taken for one place.
 
-    Rows without key, place or usable name match nothing; repeated rows count once; several records of a
-    place on one side all match. Different numbers, different kinds of place in the names themselves, or
-    names without likeness rule a pair out whatever the other votes are. Empty inputs give no rows.
+    The confidence is the label model's posterior and alone decides, at THRESHOLD. Rows without key, place
+    or usable name match nothing; repeated rows count once; several records of a place on one side all
+    match. Records alike but for their key are compared once and expanded in the result. Empty inputs give
+    no rows.
     """
-    a, b = materialize(_features(left), "left"), materialize(_features(right), "right")
-    rows = materialize(candidates(a, b), "candidates")
+    (a, a_keys), (b, b_keys) = _classes(left), _classes(right)
+    a, b = materialize(a, "left"), materialize(b, "right")
+    rows = materialize(candidates(a, b, reach), "candidates")
     columns = [f"v_{v}" for v in VOTERS]
     patterns = rows.groupBy(*columns).count().toPandas()  # at most 3 ** len(VOTERS) rows
-    model = label_model.fit(patterns[columns].to_numpy(), patterns["count"].to_numpy())
+    model = fit(patterns[columns].to_numpy(), patterns["count"].to_numpy(), accuracy=[v[:2] for v in VOTERS.values()], denied=[v[2] for v in VOTERS.values()])
     patterns["confidence"] = model.posterior(patterns[columns].to_numpy())
     schema = StructType([StructField(c, rows.schema[c].dataType) for c in columns] + [StructField("confidence", DoubleType())])
     judged = rows.sparkSession.createDataFrame(patterns[[*columns, "confidence"]].astype({c: "int32" for c in columns}), schema)
-    out = rows.where("not differ").join(F.broadcast(judged), columns).where(F.col("confidence") >= THRESHOLD)
-    return out.groupBy("a_key", "b_key").agg(F.max("confidence").alias("confidence"))
+    out = rows.join(F.broadcast(judged), columns).where(F.col("confidence") >= THRESHOLD).select("a_rec", "b_rec", "confidence")
+    members = lambda t, side: t.select(F.col("rec").alias(f"{side}_rec"), F.col("key").alias(f"{side}_key"))
+    out = out.join(members(a_keys, "a"), "a_rec").join(members(b_keys, "b"), "b_rec")
+    return out.groupBy("a_key", "b_key").agg(F.max("confidence").alias("confidence"))  # a key may stand in several classes
 
 
 def match_places(osm: DataFrame, overture: DataFrame) -> DataFrame:

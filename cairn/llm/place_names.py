@@ -4,23 +4,24 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 # Words for kinds of places as they stand in names, by kind.
 KIND_WORDS = {
-    "restaurant": ["restaurant", "restaurnt", "resturant", "rest", "مطعم"],
+    "restaurant": ["restaurant", "rest", "مطعم"],
     "grill": ["grill", "grills", "grill house", "مشاوي"],
     "cafe": ["cafe", "coffee shop", "coffee house", "coffee", "مقهى", "كافيه"],
     "clinic": ["clinic", "clinics", "med ctr", "medical centre", "medical center", "medical", "polyclinic", "عيادة"],
     "pharmacy": ["pharmacy", "pharm", "pharmacie", "drugstore", "صيدلية"],
-    "hotel": ["hotel", "htl", "suites", "hotel suites", "hotel and suites", "فندق"],
-    "bank": ["bank", "bnk", "banking", "بنك", "مصرف"],
+    "hotel": ["hotel", "suites", "hotel suites", "hotel and suites", "فندق"],
+    "bank": ["bank", "banking", "بنك", "مصرف"],
     "atm": ["atm", "cash machine", "صراف", "صراف الي"],
     "garage": ["garage", "car repair", "auto workshop", "workshop", "auto", "كراج"],
     "salon": ["salon", "saloon", "beauty salon", "beauty", "hair salon", "صالون"],
     "school": ["school", "schools", "sch", "مدرسة"],
     "fuel": ["petrol station", "petrol stn", "fuel station", "gas station", "petrol", "fuel", "station", "stn", "محطة وقود", "محطة", "وقود"],
     "supermarket": ["supermarket", "super market", "hypermarket", "سوبرماركت"],
-    "mosque": ["mosque", "msq", "masjid", "مسجد"],
+    "mosque": ["mosque", "masjid", "مسجد"],
     "park": ["park", "garden", "gardens", "حديقة", "منتزه"],
     "hospital": ["hospital", "مستشفى"],
     "shop": ["shop", "store", "محل", "متجر"],
@@ -64,6 +65,32 @@ def fold(text: str) -> str:
 _WORDS = sorted(((fold(w), k) for k, words in KIND_WORDS.items() for w in words), key=lambda x: -len(x[0]))
 
 
+_SINGLE = {w: k for w, k in _WORDS if " " not in w and w.isascii()}
+_LEAST_MISSPELT = 6  # letters from which a word one edit away from a kind of place stands for it
+
+
+def _one_edit(a: str, b: str) -> bool:
+    """Whether one letter put in, left out or replaced, or two neighbours swapped, makes a into b."""
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[k + 1 :] == b[k + 1 :] or a[k + 1 :] == b[k:] or a[k:] == b[k + 1 :] or (a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :])
+
+
+@lru_cache(maxsize=200_000)
+def kind_of_word(word: str) -> str:
+    """Kind of place that a misspelt or vowelless word stands for ('restraunt', 'htl'); empty if none."""
+    if word in _SINGLE:
+        return _SINGLE[word]
+    for known, kind in _SINGLE.items():
+        bare = known[0] + "".join(c for c in known[1:] if c not in "aeiou")
+        if len(word) >= 3 and word in (bare, re.sub(r"(.)\1+", r"\1", bare)) and word != known:
+            return kind
+        if len(word) >= _LEAST_MISSPELT and len(known) >= _LEAST_MISSPELT and word[0] == known[0] and _one_edit(word, known):
+            return kind
+    return ""
+
+
 def is_placeholder(text: str | None) -> bool:
     return text is None or fold(text).strip(" .!&,;:_-") in _PLACEHOLDERS
 
@@ -104,6 +131,10 @@ def parse(name: str | None) -> tuple[str, str, str, str]:
             padded = padded.replace(f" {word} ", " ", 1)
             kind = kind or k
     words = padded.split()
+    if not kind and len(words) > 1:
+        k = next((i for i in range(len(words) - 1, 0, -1) if kind_of_word(words[i])), None)
+        if k is not None:
+            kind = kind_of_word(words.pop(k))
     if words and words[0] in _ARTICLES and (len(words) > 1 or words[0] in ("al", "el")):
         words = words[1:]
     elif words and words[0].startswith("ال"):

@@ -104,6 +104,72 @@ def test_match_places(spark):
     assert place_match.match_places(spark.createDataFrame([], OSM), spark.createDataFrame(ovt, OVT)).isEmpty()
 
 
+def numbered(k, lon, lat, name, number, side):
+    text = f"{name} Clinic {number}"
+    return (f"o{k}", text, None, None, "clinic", None, None, lon, lat, 1) if side == "osm" else (f"v{k}", text, None, "doctor", None, None, None, 0.7, lon, lat)
+
+
+def test_the_label_model_decides_over_numbered_neighbours(spark):
+    osm, ovt = [], []
+    names = ["Kortal", "Shanmee", "Dulnoor", "Berfigha", "Sunvan", "Rishtal", "Meeshan", "Vankor", "Noorsun", "Talber"]
+    for k in range(60):
+        lon, lat = 51 + (k % 10) * 0.01, 25 + (k // 10) * 0.01
+        for j in range(2 if k % 4 == 0 else 1):
+            osm.append(numbered(10 * k + j, lon + 0.0003 * j, lat, names[k % 10] + names[k // 10].lower(), 3 + j, "osm"))
+            ovt.append(numbered(10 * k + j, lon + 0.0003 * j, lat, names[k % 10] + names[k // 10].lower(), 3 + j, "ovt"))
+    a, b = spark.createDataFrame(osm, OSM), spark.createDataFrame(ovt, OVT)
+    rows = lambda **kw: {(r["a_key"], r["b_key"]) for r in place_match.link(*sides(a, b), **kw).collect()}
+    want = {(f"o{10 * k + j}", f"v{10 * k + j}") for k in range(60) for j in range(2 if k % 4 == 0 else 1)}
+    assert rows() == want
+
+    class Certain:
+        def posterior(self, votes):
+            return np.ones(len(votes))
+
+    assert len(rows(fit=lambda *a, **k: Certain()) - want) >= 20  # without the model numbered neighbours pass
+
+
+def sides(osm, ovt):
+    left = osm.selectExpr("osm_key key", "lon", "lat", "array(name, name_en, name_ar) names", "category", "brand", "address", "cast(null as string) locality")
+    return left, ovt.selectExpr("overture_key key", "lon", "lat", "array(name) names", "category", "brand", "address", "locality")
+
+
+def test_copies_of_a_place_are_all_matched_and_long_names_by_spelling(spark):
+    long = "Kor " + "tal" * 60
+    osm = [(f"c{k}", "Zutarmin Bank", None, None, "bank", None, None, 51.5, 25.5, 1) for k in range(30)] + [("long", long + " Bank", None, None, "bank", None, None, 51.6, 25.5, 1)]
+    ovt = [(f"d{k}", "Zutarmin Bank", None, "bank", None, None, None, None, 51.5, 25.5) for k in range(20)] + [("long", long.replace("kor", "Kr") + "s Bank", None, "bank", None, None, None, None, 51.6, 25.5)]
+    got = {(r["a_key"], r["b_key"]) for r in place_match.link(*sides(spark.createDataFrame(osm, OSM), spark.createDataFrame(ovt, OVT))).collect()}
+    assert got == {(f"c{a}", f"d{b}") for a in range(30) for b in range(20)} | {("long", "long")}
+
+
+@pytest.mark.parametrize("n", [0, 2, 3, 63, 64, 65, 66, 67, 300])
+def test_keys_of_deletions_are_keys_of_the_shortened_texts(n):
+    text = "".join(random.Random(n).choice("abcdef") for _ in range(n))
+    want = {place_match._key("l", text)} | ({place_match._key("l", text[:k] + text[k + 1 :]) for k in range(n)} if n > 2 else set())
+    assert place_match.deletion_keys("l", text) == want
+
+
+def test_cells_hold_all_points_within_reach_anywhere(spark):
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(6), []
+    for k in range(400):
+        lat, lon = rng.choice([0, 25, 60, 80, 89.9, -71, -89.99]) + rng.uniform(-0.01, 0.01), rng.choice([179.999, -179.999, 0, 51])
+        lat2 = lat + rng.uniform(-0.0026, 0.0026)
+        lon2 = lon + rng.uniform(-0.0026, 0.0026) / max(0.0002, np.cos(np.radians(lat)))
+        rows.append((float(lon), float(lat), float((lon2 + 540) % 360 - 180), float(lat2)))
+    df = spark.createDataFrame([r for r in rows if abs(r[3]) <= 90], "a double, b double, c double, d double")
+    x = [F.col(c) for c in "abcd"]
+    df = df.select(place_match._metres(*x).alias("m"), F.array_contains(place_match.cells_within(x[0], x[1], 300.0), place_match.cell(x[2], x[3])).alias("held"))
+    near = [r for r in df.collect() if r["m"] <= 299]
+    assert len(near) > 100 and all(r["held"] for r in near)
+
+
+def test_kinds_however_spelt():
+    assert [place_names.parse(x)[1] for x in ("Kortal Restraunt", "Kortal Htl", "Kortal Bnk", "Kortal Pharmcy", "Kortal Hotal", "Bnk")] == ["restaurant", "hotel", "bank", "pharmacy", "", ""]
+    assert place_names.parse("Kortal Restraunt")[0] == "kortal"
+
+
 CANON = "cluster_id string, canonical_id string, name string, name_ar string, address string, locality string, confidence double, extracted_at timestamp, source string, usefulness string, exclusion string, map_visible boolean, map_hidden_reason string, value string"
 
 
