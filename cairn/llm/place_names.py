@@ -79,7 +79,7 @@ def _one_edit(a: str, b: str) -> bool:
 
 @lru_cache(maxsize=200_000)
 def kind_of_word(word: str) -> str:
-    """Kind of place that a misspelt or vowelless word stands for ('restraunt', 'htl'); empty if none."""
+    """Kind of place that a misspelt or vowelless word stands for ('resturant', 'htl'); empty if none."""
     if word in _SINGLE:
         return _SINGLE[word]
     for known, kind in _SINGLE.items():
