@@ -1,14 +1,14 @@
 """Implausible readings of moving receivers: impossible values, momentary spikes and frozen stretches.
 
-A trip's readings are summarised by quantile sketches per hour that are merged over partitions and up to
-the trip. A reading is suspect when it lies outside the expanded interquartile fences of its hour or
-changes faster than the trip's tolerance on both sides; a suspect is flagged unless neighbouring readings
-or the distances between fixes bear it out. Runs of one value are flagged where the trip moves on while
-the reading does not and the receiver varies otherwise.
-
-All row-level steps run after one shuffle, keyed by (trip, stretch of time) with an overlap, never by the
-trip alone, so one trip may hold a third of all rows. Stretches that hold more rows than a stretch can
-have fixes are those of fixes sent again; they are reduced to distinct fixes before the shuffle.
+How far each reading lies from its neighbours is summarised by quantile sketches per trip and hour, built
+in every task, merged over partitions, to the hour of the day and to the trip. A reading whose distance lies
+outside the expanded interquartile fences of its hour is a spike, unless the neighbouring readings or the
+distances driven between fixes bear it out. Runs of one value are flagged where the trip moves on while the
+reading does not and the receiver varies otherwise.
+
+Fixes sent again are merged before anything else, so a stretch of time holds no more rows than it can have
+fixes. All row-level steps then run after one shuffle keyed by (trip, stretch of time) with an overlap, never
+by the trip alone: one trip, or one fix, may hold a third of all rows.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ from cairn.storage import materialize
 @dataclass(frozen=True)
 class Limits:
     chunk_ms: int = 21_600_000  # stretch of time whose rows stay together
-    heavy_rows: int = 200_000  # rows of a stretch from which copies are merged beforehand
     gap_ms: int = 300_000  # fixes further apart are no neighbours
     speed_max: float = 80.0  # m/s, beyond any traveller on the ground
     accuracy_max: float = 5000.0  # m, beyond any usable fix
-    fence: float = 1.5  # widths of the interquartile range
+    sketch_size: int = 800  # k of the sketches: quantiles of up to so many readings are exact, of more within 0.4 % of the ranks
+    fence: float = 3.0  # widths of the interquartile range
+    least_width: tuple[float, float] = (0.15, 0.05)  # of speed in m/s, of accuracy as a logarithm: steps of receivers
     least_in_hour: int = 20  # readings from which an hour has fences of its own
     speed_slack: tuple[float, float] = (0.85, 0.16)  # m/s, share of what neighbours bear out
     speed_drop: tuple[float, float] = (0.6, 0.5)  # the same downwards
@@ -50,60 +51,29 @@ _FIELDS = ("speed", "accuracy")
 _HOUR = 3_600_000
 
 
-def _context(rows: DataFrame, limits: Limits) -> DataFrame:
-    """(trip, hour since the epoch) with its row count, the trip's count per field and the fences of each field.
-
-    One sketch per trip and hour, pre-aggregated in every task, merged to the hour of the day and to the trip.
-    """
-    good = {f: F.when(~impossible(F.lit(f), F.col(f), limits), F.col(f)) for f in _FIELDS}
-    hours = rows.groupBy("trip_pseudonym", F.floor(F.col("t") / _HOUR).alias("hour")).agg(F.count("*").alias("rows"), *[F.kll_sketch_agg_double(good[f]).alias(f) for f in _FIELDS])
-    hours = materialize(hours.withColumn("of_day", F.pmod("hour", F.lit(24))), "sketches")
-    merge = lambda as_: [F.kll_merge_agg_double(f).alias(f"{f}_{as_}") for f in _FIELDS]
-    out = hours.select("trip_pseudonym", "hour", "of_day", "rows").join(hours.groupBy("trip_pseudonym", "of_day").agg(*merge("daily")), ["trip_pseudonym", "of_day"])
-    out = out.join(hours.groupBy("trip_pseudonym").agg(*merge("trip")), ["trip_pseudonym"])
-    columns = ["trip_pseudonym", "hour", "rows"]
-    for f in _FIELDS:
-        used = F.when(F.kll_sketch_get_n_double(f"{f}_daily") >= limits.least_in_hour, F.col(f"{f}_daily")).otherwise(F.col(f"{f}_trip"))
-        some = F.kll_sketch_get_n_double(f"{f}_trip") > 0
-        q = [F.when(some, F.kll_sketch_get_quantile_double(used, F.lit(p))) for p in (0.25, 0.75)]
-        out = out.withColumns({f"{f}_q1": q[0], f"{f}_q3": q[1], f"{f}_n": F.kll_sketch_get_n_double(f"{f}_trip")})
-        width = F.col(f"{f}_q3") - F.col(f"{f}_q1")
-        out = out.withColumns({f"{f}_low": F.col(f"{f}_q1") - limits.fence * width, f"{f}_high": F.col(f"{f}_q3") + limits.fence * width})
-        columns += [f"{f}_low", f"{f}_high", f"{f}_n"]
-    return materialize(out.select(*columns), "context")
-
-
-_OVER = "over (partition by trip_pseudonym, chunk order by t, kind, lng, lat, speed, accuracy, id)"
+_OVER = "over (partition by trip_pseudonym, chunk order by t, lng, lat, speed, accuracy)"
 
 
 def _shift(column: str, k: int) -> Column:
     return F.expr(f"{'lag' if k < 0 else 'lead'}({column}, {abs(k)}) ignore nulls {_OVER}")
 
 
-def _stretches(rows: DataFrame, context: DataFrame, limits: Limits) -> DataFrame:
-    """Rows and the fences of their hours, brought together by (trip, chunk)."""
+def _stretches(fixes: DataFrame, limits: Limits) -> DataFrame:
+    """Distinct fixes brought together by (trip, chunk), each also in the chunk it is near to."""
     halo = 2 * limits.gap_ms
     chunk_of = lambda t: F.floor(t / limits.chunk_ms)
     t = F.col("t")
-    rows = rows.withColumns({"kind": F.lit(1), "chunk": F.explode(F.array_distinct(F.array(chunk_of(t), chunk_of(t - halo), chunk_of(t + halo))))})
-    fences = [f"{f}_{e}" for f in _FIELDS for e in ("low", "high")]
-    starts = F.col("hour") * _HOUR
-    marks = context.select("trip_pseudonym", starts.alias("t"), F.lit(0).alias("kind"), chunk_of(starts).alias("chunk"), *fences)
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    w = W.partitionBy("trip_pseudonym", "chunk").orderBy("t", "kind", "lng", "lat", "speed", "accuracy", "id")
-    so_far = w.rowsBetween(W.unboundedPreceding, 0)
-    reading = F.struct("kind", *_FIX[1:])
-    both = both.withColumns({"same": F.lag(reading).over(w).eqNullSafe(reading), **{f: F.last(f, True).over(so_far) for f in fences}}).where("kind = 1")
-    both = both.withColumn("first", ~F.col("same")).withColumn("own", F.col("chunk") == chunk_of(t))
-    columns = {"place": F.when(F.col("first") & F.col("lng").isNotNull() & F.col("lat").isNotNull(), F.struct("t", "lng", "lat"))}
+    rows = fixes.withColumn("chunk", F.explode(F.array_distinct(F.array(chunk_of(t), chunk_of(t - halo), chunk_of(t + halo)))))
+    columns = {"own": F.col("chunk") == chunk_of(t), "place": F.when(F.col("lng").isNotNull() & F.col("lat").isNotNull(), F.struct("t", "lng", "lat"))}
     for f in _FIELDS:
-        columns[f"{f}_bad"] = F.coalesce(impossible(F.lit(f), F.col(f), limits), F.lit(False))
-        columns[f"{f}_ok"] = F.when(F.col("first") & F.col(f).isNotNull() & ~F.coalesce(impossible(F.lit(f), F.col(f), limits), F.lit(False)), F.struct("t", F.col(f).cast("double").alias("v")))
-    return both.withColumns(columns)
+        bad = F.coalesce(impossible(F.lit(f), F.col(f), limits), F.lit(False))
+        columns[f"{f}_bad"] = bad
+        columns[f"{f}_ok"] = F.when(F.col(f).isNotNull() & ~bad, F.struct("t", F.col(f).cast("double").alias("v")))
+    return rows.withColumns(columns)
 
 
 def _spikes(rows: DataFrame, limits: Limits) -> DataFrame:
-    """rows with speed_spike and accuracy_spike, false for all but the first of equal copies."""
+    """rows with, per field, off: the distance from what is usual around, and spike: whether nothing around bears it out."""
     rows = rows.withColumns({"before": _shift("place", -1), "after": _shift("place", 1), **{f"{f}{k}": _shift(f"{f}_ok", k) for f in _FIELDS for k in (-2, -1, 1, 2)}})
 
     def metres(a: str, b: str) -> Column:
@@ -126,13 +96,12 @@ def _spikes(rows: DataFrame, limits: Limits) -> DataFrame:
             slack, drop = limits.speed_slack, limits.speed_drop
             up = value - F.col("top") > slack[0] + slack[1] * F.col("top")
             down = (F.col("bottom") - value > F.greatest(F.lit(drop[0]), drop[1] * F.col("bottom"))) & (F.col("bottom") > limits.speed_borne * F.col("usual"))
-            tolerance = F.least(slack[0] + slack[1] * F.col("usual"), 0.4 * F.col("usual"))
+            off = value - F.col("usual")
         else:
             rows = rows.withColumns({"top": high, "bottom": low, "usual": usual})
-            up, down, tolerance = value > limits.accuracy_up * F.col("top"), value < limits.accuracy_down * F.col("bottom"), 0.4 * F.col("usual")
-        outside = (value < F.col(f"{f}_low")) | (value > F.col(f"{f}_high"))
-        changes = F.abs(value - F.col("usual")) > tolerance
-        rows = rows.withColumn(f"{f}_spike", F.coalesce((outside | changes) & (up | down), F.lit(False)))
+            up, down = value > limits.accuracy_up * F.col("top"), value < limits.accuracy_down * F.col("bottom")
+            off = F.log(value / F.col("usual"))
+        rows = rows.withColumns({f"{f}_off": off.cast("float"), f"{f}_spike": F.coalesce(up | down, F.lit(False))})
     return rows.drop("around", "many", "top", "bottom", "usual", "before", "after", "d_in", "d_out", "chord", *[f"{f}{k}" for f in _FIELDS for k in (-2, -1, 1, 2)])
 
 
@@ -142,48 +111,64 @@ def _runs(rows: DataFrame, limits: Limits) -> DataFrame:
     rows = rows.withColumns({f"{f}_prior": _shift(f"{f}_quiet", -1) for f in _FIELDS})
     rows = rows.where("own")
     goes_on = {f: F.coalesce((F.col(f"{f}_prior.v") == F.col(f"{f}_quiet.v")) & (F.col("t") - F.col(f"{f}_prior.t") <= limits.gap_ms), F.lit(False)) for f in _FIELDS}
-    w = W.partitionBy("trip_pseudonym", "chunk").orderBy("t", "kind", "lng", "lat", "speed", "accuracy", "id")
+    w = W.partitionBy("trip_pseudonym", "chunk").orderBy("t", "lng", "lat", "speed", "accuracy")
     so_far, whole = w.rowsBetween(W.unboundedPreceding, 0), W.partitionBy("trip_pseudonym", "chunk")
     rows = rows.withColumns({f"{f}_at": F.count(f"{f}_quiet").over(so_far) for f in _FIELDS} | {f"{f}_joins": goes_on[f] for f in _FIELDS})
     starts = {f: F.when(F.col(f"{f}_quiet").isNotNull() & (~F.col(f"{f}_joins") | (F.col(f"{f}_at") == 1)), F.struct(F.col(f"{f}_at").alias("at"), F.col(f"{f}_joins").alias("joins"))) for f in _FIELDS}
     rows = rows.withColumns({f"{f}_start": starts[f] for f in _FIELDS})
-    rows = rows.withColumns(
+    return rows.withColumns(
         {f"{f}_run": F.last(f"{f}_start", True).over(so_far) for f in _FIELDS}
         | {f"{f}_next": _shift(f"{f}_start", 1) for f in _FIELDS}
         | {f"{f}_count": F.count(f"{f}_quiet").over(whole) for f in _FIELDS}
-        | {f"{f}_hit": F.last(F.when(F.col("first"), F.col(f"{f}_spike")), True).over(so_far) for f in _FIELDS}
     )
-    return rows
 
 
-def _judged(rows: DataFrame, limits: Limits) -> DataFrame:
-    """One row per reading that is impossible, a spike, or in a run that is long or reaches the edge of its stretch of time."""
+def _measured(rows: DataFrame, limits: Limits) -> DataFrame:
+    """One row per fix: trip, hour and distances; the rest of the fix only with readings that are impossible, may be a spike, or are in a long run or one at the edge of the chunk."""
     fields = []
     for f in _FIELDS:
         ends = F.coalesce(F.col(f"{f}_next.at"), F.col(f"{f}_count") + 1)
         size, run = ends - F.col(f"{f}_run.at"), F.col(f"{f}_run.at")
-        state = F.when(F.col(f).isNull(), None).when(F.col(f"{f}_bad"), "impossible").when(F.col(f"{f}_hit"), "spike").when((size >= limits.frozen_rows) | (run == 1) | (ends > F.col(f"{f}_count")), "run")
-        fields.append(F.struct(F.lit(f).alias("field"), state.alias("state"), run.alias("run"), size.alias("size"), F.col(f"{f}_run.joins").alias("joins"), F.col(f).cast("double").alias("value")))
-    rows = rows.select("id", "first", *_FIX, "chunk", F.explode(F.array(*fields)).alias("r")).where("r.state is not null")
-    return rows.select("id", "first", *_FIX, "chunk", "r.*")
-
-
-def _frozen(judged: DataFrame, context: DataFrame, limits: Limits) -> DataFrame:
+        edge = (run == 1) | (ends > F.col(f"{f}_count"))
+        state = F.when(F.col(f).isNull(), None).when(F.col(f"{f}_bad"), "impossible").when(F.col(f"{f}_spike"), "spike").when((size >= limits.frozen_rows) | edge, "run")
+        fields.append(F.struct(F.lit(f).alias("field"), state.alias("state"), run.alias("run"), edge.alias("edge"), F.col(f"{f}_run.joins").alias("joins")))
+    found = F.filter(F.array(*fields), lambda r: r["state"].isNotNull())
+    kept = F.when(F.size(found) > 0, F.struct("id", "copies", *_FIX[1:], "chunk", found.alias("readings")))
+    offs = [F.when(F.col(f"{f}_ok").isNotNull(), F.col(f"{f}_off")).alias(f"{f}_off") for f in _FIELDS]
+    return rows.select("trip_pseudonym", F.floor(F.col("t") / _HOUR).alias("hour"), *offs, *[F.col(f"{f}_ok").isNotNull().alias(f"{f}_some") for f in _FIELDS], kept.alias("fix"))
+
+
+def _fences(measured: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
+    """((trip, field, hour, low, high), (trip, field, all)): fences of each hour and the number of readings of each trip."""
+    sketch = lambda f: F.kll_sketch_agg_double(F.when(~F.isnan(f"{f}_off") & (F.abs(f"{f}_off") < 1e9), F.col(f"{f}_off").cast("double")), F.lit(limits.sketch_size))
+    hours = measured.groupBy("trip_pseudonym", "hour").agg(*[sketch(f).alias(f) for f in _FIELDS], *[F.sum(F.col(f"{f}_some").cast("long")).alias(f"{f}_n") for f in _FIELDS])
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("sketch"), F.col(f"{f}_n").alias("n"), F.lit(limits.least_width[k]).alias("least")) for k, f in enumerate(_FIELDS)]))
+    hours = materialize(hours.select("trip_pseudonym", "hour", F.pmod("hour", F.lit(24)).alias("of_day"), each.alias("e")).select("trip_pseudonym", "hour", "of_day", "e.*"), "sketches")
+    keys, n = ["trip_pseudonym", "field"], F.kll_sketch_get_n_double
+    daily = hours.groupBy(*keys, "of_day").agg(F.kll_merge_agg_double("sketch").alias("daily"))
+    trips = hours.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("whole"), F.sum("n").alias("all"))
+    used = F.when(n("daily") >= limits.least_in_hour, F.col("daily")).when(n("whole") > 0, F.col("whole"))
+    q = [F.when(used.isNotNull(), F.kll_sketch_get_quantile_double(used, F.lit(p))) for p in (0.25, 0.75)]
+    out = hours.join(daily, [*keys, "of_day"]).join(trips, keys).withColumns({"q1": q[0], "q3": q[1]})
+    width = limits.fence * F.greatest(F.col("q3") - F.col("q1"), F.col("least"))
+    return out.select(*keys, "hour", (F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high")), trips.select(*keys, "all")
+
+
+def _frozen(readings: DataFrame, spikes: DataFrame, counts: DataFrame, limits: Limits) -> DataFrame:
     """The readings in runs that belong to a frozen stretch."""
     keys = ["trip_pseudonym", "field"]
-    one = F.col("first")
-    in_runs = judged.where("state = 'run'")
-    parts = in_runs.groupBy(*keys, "chunk", "run").agg(
-        F.sum(one.cast("long")).alias("rows"), F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lng").alias("w"), F.max("lng").alias("e"), F.max((~F.col("joins")).cast("long")).alias("opens")
+    in_runs = readings.where("state = 'run'")
+    parts = in_runs.groupBy(*keys, "chunk", "run", "edge").agg(
+        F.count("*").alias("rows"), F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lng").alias("w"), F.max("lng").alias("e"), F.max((~F.col("joins")).cast("long")).alias("opens")
     )
-    # a run goes on in the next stretch of time where its first part there joins: few parts per (trip, chunk)
+    # only a run at the edge of its stretch of time can go on in the next: at most two parts for each (trip, chunk), however many rows a trip has
     chain = W.partitionBy(*keys).orderBy("chunk", "run").rowsBetween(W.unboundedPreceding, 0)
-    parts = parts.withColumn("whole", F.sum("opens").over(chain))
+    at_edge = parts.where("edge").withColumn("whole", F.concat(F.lit("edge "), F.sum("opens").over(chain).cast("string")))
+    parts = at_edge.unionByName(parts.where("not edge").withColumn("whole", F.concat_ws(" ", "chunk", "run")))
     runs = parts.groupBy(*keys, "whole").agg(F.sum("rows").alias("rows"), F.min("s").alias("s"), F.max("n").alias("n"), F.min("w").alias("w"), F.max("e").alias("e"))
     long = F.col("rows") >= limits.frozen_rows
     held = runs.groupBy(*keys).agg(F.sum(F.when(long, F.col("rows")).otherwise(0)).alias("held"))
-    hits = judged.where("state = 'spike' and first").groupBy(*keys).agg(F.count("*").alias("hits"))
-    counts = context.groupBy("trip_pseudonym").agg(*[F.max(f"{f}_n").alias(f) for f in _FIELDS]).select("trip_pseudonym", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("all")) for f in _FIELDS])).alias("c")).select("trip_pseudonym", "c.*")
+    hits = spikes.groupBy(*keys).agg(F.count("*").alias("hits"))
     trips = counts.join(held, keys).join(hits, keys, "left").withColumn("varied", F.col("all") - F.col("held") - F.coalesce("hits", F.lit(0)))
     varies = trips.where((F.col("varied") >= limits.varied_rows) & (F.col("varied") >= limits.varied_share * F.col("all"))).select(*keys)
     moved = haversine("w", "s", "e", "n") > limits.frozen_move_m
@@ -200,21 +185,17 @@ def implausible_readings(observations: DataFrame, limits: Limits = Limits()) ->
     Positions that jump are no evidence. Columns other than those used are ignored.
     """
     rows = observations.select("id", *_FIX).where("t is not null and id is not null and trip_pseudonym is not null")
-    context = _context(rows, limits)
-    chunk = lambda t: F.floor(t / limits.chunk_ms)
-    crowded = context.groupBy("trip_pseudonym", chunk(F.col("hour") * _HOUR).alias("chunk")).agg(F.sum("rows").alias("rows")).where(F.col("rows") > limits.heavy_rows).select("trip_pseudonym", "chunk")
-    crowded = materialize(crowded, "crowded")
-    heavy = None
-    if not crowded.isEmpty():
-        keyed = rows.withColumn("chunk", chunk(F.col("t")))
-        heavy = keyed.join(crowded, ["trip_pseudonym", "chunk"], "left_semi").drop("chunk")
-        merged = heavy.groupBy(*_FIX).agg(F.min("id").alias("id"))
-        rows = keyed.join(crowded, ["trip_pseudonym", "chunk"], "left_anti").drop("chunk").unionByName(merged)
-    judged = materialize(_judged(_runs(_spikes(_stretches(rows, context, limits), limits), limits), limits), "judged")
-    flagged = judged.where("state <> 'run'").unionByName(_frozen(judged, context, limits).select(*judged.columns).withColumn("state", F.lit("frozen")))
-    out = flagged.select("id", "field", F.col("state").alias("reason"))
-    if heavy is not None:
-        marks = materialize(flagged.withColumn("chunk", chunk(F.col("t"))).join(crowded, ["trip_pseudonym", "chunk"], "left_semi").select(*_FIX, "field", F.col("state").alias("reason")), "heavy")
-        copies = heavy.alias("h").join(marks.alias("m"), (F.col("h.trip_pseudonym") == F.col("m.trip_pseudonym")) & (F.col("h.t") == F.col("m.t")) & F.expr(" and ".join(f"h.{c} <=> m.{c}" for c in _FIX[2:])))
-        out = out.unionByName(copies.select("h.id", "m.field", "m.reason"))
-    return out.distinct()
+    fixes = rows.groupBy(*_FIX).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    measured = materialize(_measured(_runs(_spikes(_stretches(fixes, limits), limits), limits), limits), "measured")
+    fences, counts = _fences(measured, limits)
+    off = F.when(F.col("r.field") == "speed", F.col("speed_off")).otherwise(F.col("accuracy_off"))
+    flat = measured.where("fix is not null").select("trip_pseudonym", "hour", "speed_off", "accuracy_off", "fix.*")
+    readings = flat.withColumn("r", F.explode("readings")).select("trip_pseudonym", "hour", "id", "copies", *_FIX[1:], "chunk", off.cast("double").alias("off"), "r.*")
+    spikes = readings.where("state = 'spike'").join(fences, ["trip_pseudonym", "field", "hour"]).where((F.col("off") < F.col("low")) | (F.col("off") > F.col("high")))
+    spikes = materialize(spikes.select(*readings.columns), "spikes")
+    flagged = readings.where("state = 'impossible'").unionByName(spikes).unionByName(_frozen(readings, spikes, counts, limits).select(*readings.columns).withColumn("state", F.lit("frozen")))
+    flagged = materialize(flagged.select("id", "copies", *_FIX, "field", F.col("state").alias("reason")), "flagged")
+    sent_again = flagged.where("copies > 1").select(*_FIX, "field", "reason")
+    same = F.expr("o.trip_pseudonym = m.trip_pseudonym and o.t = m.t and " + " and ".join(f"o.{c} <=> m.{c}" for c in _FIX[2:]))
+    copies = rows.alias("o").join(sent_again.alias("m"), same).select("o.id", "m.field", "m.reason")
+    return flagged.where("copies = 1").select("id", "field", "reason").unionByName(copies).distinct()

@@ -73,4 +73,21 @@ def test_copies_count_by_their_own_id_light_and_heavy(spark):
     copies = [[5000 + k, *rows[50][1:]] for k in range(40)]
     want = {(50, "speed", "spike")} | {(5000 + k, "speed", "spike") for k in range(40)}
     assert flags(spark, rows + copies) == want
-    assert flags(spark, rows + copies, Limits(heavy_rows=100)) == want
+    assert flags(spark, [r for r in rows + copies for _ in range(2)]) == want
+
+
+def test_the_fences_of_the_trip_decide_over_spikes(spark):
+    quiet, rough = trip("a", 300, noise=0.1), trip("b", 300, noise=3.0, first_id=1000, seed=5)
+    for rows in (quiet, rough):
+        rows[150][5] += 5.5
+    found = {f for f in flags(spark, quiet + rough) if f[1] == "speed"}
+    assert (150, "speed", "spike") in found and (1150, "speed", "spike") not in found  # normal for the one, not for the other
+    assert flags(spark, quiet + rough, Limits(fence=0.0, least_width=(0.0, 0.0))) > flags(spark, quiet + rough)
+    assert {f[2] for f in flags(spark, quiet + rough, Limits(fence=1e9))} <= {"impossible", "frozen"}
+
+
+def test_null_readings_and_places_crash_nothing(spark):
+    rows = trip("a", 60) + [[900 + k, "n", 1_736_000_000_000 + k * 1000, None, None, None, None] for k in range(5)]
+    rows += [[950, "a", None, 51.0, 25.0, 900.0, -1.0], [951, None, 5, 51.0, 25.0, 900.0, -1.0], [952, "z", 5, 51.0, 25.0, float("nan"), float("inf")]]
+    rows[7][3] = rows[7][4] = None
+    assert flags(spark, rows) == {(952, "speed", "impossible"), (952, "accuracy", "impossible")}
