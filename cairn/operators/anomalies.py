@@ -64,6 +64,7 @@ def _stretches(fixes: DataFrame, limits: Limits) -> DataFrame:
     chunk_of = lambda t: F.floor(t / limits.chunk_ms)
     t = F.col("t")
     rows = fixes.withColumn("chunk", F.explode(F.array_distinct(F.array(chunk_of(t), chunk_of(t - halo), chunk_of(t + halo)))))
+    rows = rows.repartition("trip_pseudonym", "chunk")  # the windows' own shuffle, before columns are derived
     columns = {"own": F.col("chunk") == chunk_of(t), "place": F.when(F.col("lng").isNotNull() & F.col("lat").isNotNull(), F.struct("t", "lng", "lat"))}
     for f in _FIELDS:
         bad = F.coalesce(impossible(F.lit(f), F.col(f), limits), F.lit(False))
@@ -195,7 +196,8 @@ def implausible_readings(observations: DataFrame, limits: Limits = Limits()) ->
     spikes = materialize(spikes.select(*readings.columns), "spikes")
     flagged = readings.where("state = 'impossible'").unionByName(spikes).unionByName(_frozen(readings, spikes, counts, limits).select(*readings.columns).withColumn("state", F.lit("frozen")))
     flagged = materialize(flagged.select("id", "copies", *_FIX, "field", F.col("state").alias("reason")), "flagged")
-    sent_again = flagged.where("copies > 1").select(*_FIX, "field", "reason")
-    same = F.expr("o.trip_pseudonym = m.trip_pseudonym and o.t = m.t and " + " and ".join(f"o.{c} <=> m.{c}" for c in _FIX[2:]))
-    copies = rows.alias("o").join(sent_again.alias("m"), same).select("o.id", "m.field", "m.reason")
+    # copies find their fix by time and a hash of all of it
+    print_of = [F.col("t"), F.xxhash64(*_FIX).alias("fix")]
+    sent_again = flagged.where("copies > 1").select(*print_of, "field", "reason")
+    copies = rows.select(*print_of, "id").join(sent_again, ["t", "fix"]).select("id", "field", "reason")
     return flagged.where("copies = 1").select("id", "field", "reason").unionByName(copies).distinct()
