@@ -191,13 +191,36 @@ def test_surviving_values(spark):
     assert survivor.surviving_values(spark.createDataFrame([], CANON)).isEmpty()
 
 
+def chosen(spark, rows, **kw):
+    return {(r["cluster_id"], r["field"]): r["canonical_id"] for r in survivor.surviving_values(spark.createDataFrame(rows, CANON), **kw).collect()}
+
+
 def test_currency_orders_records_without_times(spark):
     learnt = [r for k in range(40) for r in (canon(f"t{k}", f"x{k}", "Same Hotel", None, None, 0.5, 1, source="osm"), canon(f"t{k}", f"y{k}", "Same Hotel", None, None, 0.5, 9, source="both"))]
     untimed = [canon("u", "a", "Kortal Hotel", None, None, 0.5, None, source="osm"), canon("u", "b", "Kortal Hotel", None, None, 0.5, None, source="both")]
-    got = {(r["cluster_id"], r["field"]): r["canonical_id"] for r in survivor.surviving_values(spark.createDataFrame(learnt + untimed, CANON)).collect()}
-    assert got["u", "name"] == "b"
-    assert survivor.levels([("s", "a", "b"), ("s", "b", "c")]) == {("s", "a"): 0, ("s", "b"): 1, ("s", "c"): 2}
-    assert set(survivor.levels([("s", "a", "b"), ("s", "b", "a")]).values()) == {0}
+    # a record without a time against one with a time: later by its state, earlier by its state, and not comparable
+    later = [canon("l", "a", "Kortal Hotel", None, None, 0.5, 3, source="osm"), canon("l", "b", "Kortal Hotel", None, None, 0.5, None, source="both")]
+    before = [canon("e", "a", "Kortal Hotel", None, None, 0.5, None, source="osm"), canon("e", "b", "Kortal Hotel", None, None, 0.5, 3, source="both")]
+    unknown = [canon("n", "b", "Kortal Hotel", None, None, 0.5, 3, source="osm"), canon("n", "a", "Kortal Hotel", None, None, 0.5, None, source="osm")]
+    trusted = [canon("c", "a", "Kortal Hotel", None, None, 0.9, 3, source="osm"), canon("c", "b", "Kortal Hotel", None, None, 0.5, None, source="both")]
+    rows = learnt + untimed + later + before + unknown + trusted
+    got = chosen(spark, rows)
+    assert [got[c, "name"] for c in "ulenc"] == ["b", "b", "b", "b", "a"]
+    off = chosen(spark, rows, currency=False)
+    assert off["u", "name"] == "a" and off["l", "name"] == "a" and off["e", "name"] == "b"  # switched off, other records survive
+
+
+def test_currency_of_field_values(spark):
+    learnt = [r for k in range(6) for r in (canon(f"t{k}", f"x{k}", "Old Souq Bank", None, None, 0.5, 1), canon(f"t{k}", f"y{k}", "New Souq Bank", None, None, 0.5, 9))]
+    case = [canon("u", "a", "Old Souq Bank", None, None, 0.5, 5), canon("u", "b", "New Souq Bank", None, None, 0.5, None)]
+    assert chosen(spark, learnt + case)["u", "name"] == "b" and chosen(spark, case)["u", "name"] == "a"
+    assert chosen(spark, learnt + case, currency=False)["u", "name"] == "a"
+
+
+def test_levels_drop_only_what_closes_a_cycle():
+    assert survivor.levels([("s", "a", "b", 1.0), ("s", "b", "c", 1.0)]) == {("s", "a"): 0, ("s", "b"): 1, ("s", "c"): 2}
+    cycle = survivor.levels([("s", "a", "b", 0.9), ("s", "b", "c", 0.9), ("s", "c", "a", 0.2)])
+    assert cycle["s", "a"] == 0 and cycle["s", "c"] > 0
 
 
 def test_address_whole_by_a_locality_of_rows_outside_the_groups(spark):
