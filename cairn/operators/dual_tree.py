@@ -20,8 +20,8 @@ from cairn.storage import materialize
 
 METRES = RADIUS * math.pi / 180  # per degree of latitude
 LEAF_DEGREES = 0.0012  # side of a leaf cell
-SHIFTS = (19, 16, 13, 10, 7, 4, 2, 0)  # halvings above the leaf of each level; the root's one cell covers the earth
-BASE = 4  # shift of the nodes that are kept as a table, from which the upper levels are built
+SHIFTS = (19, 13, 10, 7, 4, 2, 0)  # halvings above the leaf of each level; the root's one cell covers the earth
+BASE = 4  # shift from which on downwards the pairs of a level are many enough to be written as a table
 HOT_ROWS = 20_000  # items of a leaf from which it is dealt into parts of that many
 FEW_LEAVES = 100_000  # hot leaves that are broadcast; more are joined by a shuffle
 
@@ -37,33 +37,21 @@ def _above(leaf: Column, shift: int) -> Column:
     return F.shiftleft(F.shiftright(x, shift), 32).bitwiseOR(F.shiftright(y, shift))
 
 
-def _grown() -> list[Column]:
-    return [F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.sum("n").alias("n")]
-
-
 class Tree:
-    """Nodes of the bounding boxes of items (leaf, x1, y1, x2, y2), by level; n is the number of items of a node."""
+    """Nodes of the bounding boxes of items (id, leaf, x1, y1, x2, y2) at every level; may serve several joins."""
 
     def __init__(self, items: DataFrame) -> None:
-        counted = items.select("leaf", "x1", "y1", "x2", "y2", F.lit(1).cast("long").alias("n"))
-        self.leaves = materialize(counted.groupBy("leaf").agg(*_grown()), "leaves")
+        self.items = items
+        grown = [F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.sum("n").alias("n")]
+        self.leaves = materialize(items.select("leaf", "x1", "y1", "x2", "y2", F.lit(1).cast("long").alias("n")).groupBy("leaf").agg(*grown), "leaves")
+        above = F.explode(F.array(*[F.struct(F.lit(s).alias("shift"), _above(F.col("leaf"), s).alias("node")) for s in SHIFTS[:-1]]))
+        self._upper = materialize(self.leaves.withColumn("above", above).groupBy("above.shift", "above.node").agg(*grown), "nodes")
         self._n_hot: int | None = None
-        self.base = materialize(self._over(self.leaves.withColumnRenamed("leaf", "node"), BASE), "nodes")
-
-    @staticmethod
-    def _over(nodes: DataFrame, shift: int) -> DataFrame:
-        return nodes.withColumn("node", _above(F.col("node"), shift)).groupBy("node").agg(*_grown())
 
     def nodes(self, k: int, side: str) -> DataFrame:
         """Nodes of level k as (up, node, x1, y1, x2, y2), named for a side; up is the key of the parent."""
-        shift = SHIFTS[k]
-        if shift == 0:
-            out = self.leaves.withColumnRenamed("leaf", "node")
-        elif shift < BASE:
-            out = self._over(self.leaves.withColumnRenamed("leaf", "node"), shift)
-        else:
-            out = self._over(self.base, shift - BASE) if shift > BASE else self.base
-        up = _above(F.col("node"), SHIFTS[k - 1] - shift) if k else F.col("node")
+        out = self._upper.where(F.col("shift") == SHIFTS[k]) if SHIFTS[k] else self.leaves.withColumnRenamed("leaf", "node")
+        up = _above(F.col("node"), SHIFTS[k - 1] - SHIFTS[k]) if k else F.col("node")
         return out.select(up.alias(f"{side}_up"), F.col("node").alias(f"{side}_node"), *[F.col(c).alias(f"{side}_{c}") for c in ("x1", "y1", "x2", "y2")])
 
     def leaves_under(self, k: int, side: str) -> DataFrame:
@@ -133,11 +121,11 @@ def leaf_pairs(a: Tree, b: Tree, metres: float, accept: bool = True) -> DataFram
             pairs = pairs.join(_grows(left, k), F.col("a_parent") == F.col("a_up")).join(_grows(right, k), F.col("b_parent") == F.col("b_up"))
         pairs = pairs.where(near <= metres).withColumn("sure", (far <= metres) if accept else F.lit(False))
         pairs = pairs.select(F.col("a_node").alias("a_parent"), F.col("b_node").alias("b_parent"), "sure")
-        if SHIFTS[k] <= BASE + 3:
+        if SHIFTS[k] <= BASE:
             pairs = materialize(pairs, "pairs")
         if k < len(SHIFTS) - 1:
             # at upper levels a box is only within the limit if its points lie in a heap: expand it to leaves at once
-            if accept and SHIFTS[k] <= BASE + 3:
+            if accept and SHIFTS[k] <= BASE:
                 done = pairs.where("sure")
                 sure.append(done.join(a.leaves_under(k, "a").hint("merge"), "a_parent").join(b.leaves_under(k, "b").hint("merge"), "b_parent").select("a_leaf", "b_leaf", "sure"))
                 pairs = pairs.where("not sure")
@@ -148,6 +136,11 @@ def leaf_pairs(a: Tree, b: Tree, metres: float, accept: bool = True) -> DataFram
     return materialize(out, "leaf-pairs")
 
 
+def point_tree(points: DataFrame | Tree) -> Tree:
+    """The tree of points (id, lon, lat); rows with a null in any of the columns or no place on earth are left out."""
+    return points if isinstance(points, Tree) else Tree(_points(points))
+
+
 def _points(points: DataFrame) -> DataFrame:
     placed = points.where("id is not null and lon between -180 and 180 and lat between -90 and 90")
     return placed.select("id", F.col("lon").alias("x1"), F.col("lat").alias("y1"), F.col("lon").alias("x2"), F.col("lat").alias("y2"), _leaf(F.col("lon"), F.col("lat")).alias("leaf"))
@@ -162,13 +155,13 @@ def _refined(pairs: DataFrame, a: Tree, a_rows: DataFrame, b: Tree, b_rows: Data
     return each.join(b_parts, ["b_leaf", "b_part"]).join(a_parts, ["a_leaf", "a_part"])
 
 
-def near_points(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
-    """(left_id, right_id) of points (id, lon, lat) at most metres apart, distinct.
+def near_points(left: DataFrame | Tree, right: DataFrame | Tree, metres: float) -> DataFrame:
+    """(left_id, right_id) of points (id, lon, lat), or their trees, at most metres apart, distinct.
 
     Rows with a null in any of the columns, or no place on earth, match nothing; so do empty tables.
     """
-    a_rows, b_rows = _points(left), _points(right)
-    a, b = Tree(a_rows), Tree(b_rows)
+    a, b = point_tree(left), point_tree(right)
+    a_rows, b_rows = a.items, b.items
     pairs = leaf_pairs(a, b, metres)
     a_rows = a_rows.select(F.col("leaf").alias("a_leaf"), F.col("id").alias("left_id"), F.col("x1").alias("ax"), F.col("y1").alias("ay"))
     b_rows = b_rows.select(F.col("leaf").alias("b_leaf"), F.col("id").alias("right_id"), F.col("x1").alias("bx"), F.col("y1").alias("by"))
@@ -189,13 +182,14 @@ def metres_to_piece(lon: Column, lat: Column, lon1: Column, lat1: Column, lon2:
     return F.sqrt(F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2))
 
 
-def near_lines(points: DataFrame, pieces: DataFrame, metres: float) -> DataFrame:
-    """(left_id, right_id) of points (id, lon, lat) and lines at most metres apart, distinct.
+def near_lines(points: DataFrame | Tree, pieces: DataFrame, metres: float) -> DataFrame:
+    """(left_id, right_id) of points (id, lon, lat), or their tree, and lines at most metres apart, distinct.
 
     pieces has one row (id, lon1, lat1, lon2, lat2) for each segment of a line; a segment of no length is a
     point. Rows with a null in any of the columns match nothing; so do empty tables.
     """
-    a_rows = _points(points)
+    a = point_tree(points)
+    a_rows = a.items
     whole = pieces.where("id is not null and lon1 between -180 and 180 and lon2 between -180 and 180 and lat1 between -90 and 90 and lat2 between -90 and 90")
     # a piece over the date line runs on beyond 180 degrees
     east = F.col("lon1") + (F.col("lon2") - F.col("lon1") - 360 * F.floor((F.col("lon2") - F.col("lon1") + 180) / 360))
@@ -203,7 +197,7 @@ def near_lines(points: DataFrame, pieces: DataFrame, metres: float) -> DataFrame
         "id", "lon1", "lat1", "lon2", "lat2", F.least("lon1", "east").alias("x1"), F.least("lat1", "lat2").alias("y1"), F.greatest("lon1", "east").alias("x2"), F.greatest("lat1", "lat2").alias("y2"),
         _leaf(F.least(F.lit(180.0), F.greatest(F.lit(-180.0), (F.col("lon1") + F.col("east")) / 2)), (F.col("lat1") + F.col("lat2")) / 2).alias("leaf"),
     )
-    a, b = Tree(a_rows), Tree(b_rows)
+    b = Tree(b_rows)
     pairs = leaf_pairs(a, b, metres, accept=False)
     a_rows = a_rows.select(F.col("leaf").alias("a_leaf"), F.col("id").alias("left_id"), F.col("x1").alias("lon"), F.col("y1").alias("lat"))
     b_rows = b_rows.select(F.col("leaf").alias("b_leaf"), F.col("id").alias("right_id"), "lon1", "lat1", "lon2", "lat2")
@@ -252,8 +246,8 @@ def _smallest_cell(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return level
 
 
-def points_in_areas(points: DataFrame, areas: DataFrame) -> DataFrame:
-    """(left_id, right_id) of points (id, lon, lat) inside areas (id, edges), holes left out, distinct.
+def points_in_areas(points: DataFrame | Tree, areas: DataFrame) -> DataFrame:
+    """(left_id, right_id) of points (id, lon, lat), or their tree, inside areas (id, edges), holes left out, distinct.
 
     Starts with each area at the smallest node that holds it. A pair of a node of points and an area carries
     the edges of the area near the node's box and whether the node's corner is inside. Without such edges
@@ -261,8 +255,8 @@ def points_in_areas(points: DataFrame, areas: DataFrame) -> DataFrame:
     it. So an area is split over the tree as the points are, and its edges are never sent again as a whole.
     Rows with a null in any of the columns and areas without edges match nothing; so do empty tables.
     """
-    a_rows = _points(points)
-    a = Tree(a_rows)
+    a = point_tree(points)
+    a_rows = a.items
     whole = areas.where("id is not null and size(edges) > 0").select("id", "edges").distinct().withColumn("area", F.xxhash64("id", "edges"))
     box = lambda f, c: f(F.transform("edges", lambda e: e[c]))
     whole = whole.withColumns({"x1": box(F.array_min, "lon1"), "y1": box(F.array_min, "lat1"), "x2": box(F.array_max, "lon1"), "y2": box(F.array_max, "lat1")})
@@ -282,7 +276,7 @@ def points_in_areas(points: DataFrame, areas: DataFrame) -> DataFrame:
             met = met.unionByName(pairs.join(_grows(nodes, k), F.col("parent") == F.col("a_up")).select(*columns))
         met = met.select("area", F.col("a_node").alias("parent"), _moved(F.col("odd"), F.col("edges"), F.col("x0"), F.col("y0"), low_x, low_y).alias("odd"), low_x.alias("x0"), low_y.alias("y0"), F.filter("edges", touches).alias("edges"))
         met = met.where((F.size("edges") > 0) | F.col("odd"))
-        if SHIFTS[k] <= BASE + 3:
+        if SHIFTS[k] <= BASE:
             met = materialize(met, "pairs")
         if k < len(SHIFTS) - 1:
             sure.append(met.where("size(edges) = 0").select("area", F.col("parent").alias("a_parent")).join(a.leaves_under(k, "a").hint("merge"), "a_parent").select("a_leaf", "area"))

@@ -32,6 +32,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "traffic_state").select("segment_id", wkt.line(F.col("geom")).alias("line")).distinct()
     pieces = lines.select(F.col("segment_id").alias("id"), F.explode(wkt.pieces(F.col("line"))).alias("s")).select("id", "s.*")
     areas = table(spark, folder, "vector_features").select("id", wkt.rings(F.col("geom")).alias("rings")).where("rings is not null").select("id", wkt.edges(F.col("rings")).alias("edges"))
+    fixes, reports = dual_tree.point_tree(fixes), dual_tree.point_tree(reports)
     found = {
         "observation_incident": dual_tree.near_points(fixes, reports, 50.0),
         "incident_segment": dual_tree.near_lines(reports, pieces, 30.0),
