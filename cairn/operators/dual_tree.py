@@ -20,8 +20,8 @@ from cairn.storage import materialize
 
 METRES = RADIUS * math.pi / 180  # per degree of latitude
 LEAF_DEGREES = 0.0012  # side of a leaf cell
-SHIFTS = (19, 13, 10, 7, 4, 2, 0)  # halvings above the leaf of each level; the root's one cell covers the earth
-BASE = 4  # shift from which on downwards the pairs of a level are many enough to be written as a table
+SHIFTS = (19, 13, 9, 6, 3, 0)  # halvings above the leaf of each level; the root's one cell covers the earth
+BASE = 3  # shift from which on downwards the pairs of a level are many enough to be written as a table
 HOT_ROWS = 20_000  # items of a leaf from which it is dealt into parts of that many
 FEW_LEAVES = 100_000  # hot leaves that are broadcast; more are joined by a shuffle
 
@@ -40,14 +40,19 @@ def _above(leaf: Column, shift: int) -> Column:
 class Tree:
     """Nodes of the bounding boxes of items (id, leaf, x1, y1, x2, y2) at every level; may serve several joins."""
 
-    def __init__(self, items: DataFrame) -> None:
+    def __init__(self, items: DataFrame, boxes: DataFrame | None = None) -> None:
         self.items = items
         grown = [F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.sum("n").alias("n")]
-        self.leaves = materialize(items.select("leaf", "x1", "y1", "x2", "y2", F.lit(1).cast("long").alias("n")).groupBy("leaf").agg(*grown), "leaves")
+        boxes = items.select("leaf", "x1", "y1", "x2", "y2", F.lit(1).cast("long").alias("n")) if boxes is None else boxes
+        self.leaves = materialize(boxes.groupBy("leaf").agg(*grown), "leaves")
         above = F.explode(F.array(*[F.struct(F.lit(s).alias("shift"), _above(F.col("leaf"), s).alias("node")) for s in SHIFTS[:-1]]))
         self._upper = materialize(self.leaves.withColumn("above", above).groupBy("above.shift", "above.node").agg(*grown), "nodes")
         self._n_hot: int | None = None
 
+    def union(self, other: Tree) -> Tree:
+        """The tree of the items of both."""
+        return Tree(self.items.unionByName(other.items), self.leaves.unionByName(other.leaves))
+
     def nodes(self, k: int, side: str) -> DataFrame:
         """Nodes of level k as (up, node, x1, y1, x2, y2), named for a side; up is the key of the parent."""
         out = self._upper.where(F.col("shift") == SHIFTS[k]) if SHIFTS[k] else self.leaves.withColumnRenamed("leaf", "node")

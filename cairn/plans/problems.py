@@ -32,16 +32,15 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "traffic_state").select("segment_id", wkt.line(F.col("geom")).alias("line")).distinct()
     pieces = lines.select(F.col("segment_id").alias("id"), F.explode(wkt.pieces(F.col("line"))).alias("s")).select("id", "s.*")
     areas = table(spark, folder, "vector_features").select("id", wkt.rings(F.col("geom")).alias("rings")).where("rings is not null").select("id", wkt.edges(F.col("rings")).alias("edges"))
-    fixes, reports = dual_tree.point_tree(fixes), dual_tree.point_tree(reports)
-    found = {
-        "observation_incident": dual_tree.near_points(fixes, reports, 50.0),
-        "incident_segment": dual_tree.near_lines(reports, pieces, 30.0),
-        "observation_feature": dual_tree.points_in_areas(fixes, areas),
-        "incident_feature": dual_tree.points_in_areas(reports, areas),
-    }
+    fixes, reports = (dual_tree.point_tree(t.withColumn("id", F.struct(F.lit(k).alias("of"), "id"))) for k, t in (("observation", fixes), ("incident", reports)))
+    found = (
+        dual_tree.near_points(fixes, reports, 50.0).select(F.lit("observation_incident").alias("relation"), "left_id.id", "right_id.id"),
+        dual_tree.near_lines(reports, pieces, 30.0).select(F.lit("incident_segment"), "left_id.id", "right_id"),
+        dual_tree.points_in_areas(fixes.union(reports), areas).select(F.concat("left_id.of", F.lit("_feature")), "left_id.id", "right_id"),
+    )
     out = None
-    for relation, pairs in found.items():
-        rows = pairs.select(F.lit(relation).alias("relation"), "left_id", "right_id")
+    for rows in found:
+        rows = rows.toDF("relation", "left_id", "right_id")
         out = rows if out is None else out.unionByName(rows)
     return out
 
