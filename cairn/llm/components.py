@@ -17,24 +17,34 @@ from cairn.storage import materialize
 GROWTH_STEPS = 5
 #: Rate of the exponential head starts, per step.
 START_RATE = 0.3
-#: Parts into which the members of one shared feature are split before they are linked.
-HUB_PARTS = 64
+#: Members of a shared feature that are linked to one of them; more are linked in parts, and the parts' hubs in turn.
+HUB_MEMBERS = 1000
 
 
-def links_of_features(members: DataFrame, vertex: str, feature: str, parts: int = HUB_PARTS) -> DataFrame:
+def links_of_features(members: DataFrame, vertex: str, feature: str, most: int = HUB_MEMBERS) -> DataFrame:
     """Edges (src, dst) that join all vertices carrying the same feature, without emitting pairs.
 
-    The members of a feature are split into hash parts; each is linked to its part's least member and
-    these to the feature's least, so that no vertex has more than 1/parts of a hot feature as neighbours
-    and both minima are pre-aggregated. Nulls in either column link nothing.
+    The members of a feature are dealt into parts of about most, each linked to its least member; these
+    hubs are linked in the same way until one is left. So no vertex has many more than most neighbours by
+    one feature, however many carry it. Nulls in either column link nothing.
     """
-    rows = members.select(F.col(vertex).alias("v"), F.col(feature).alias("f")).where("v is not null and f is not null")
-    rows = rows.distinct().withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts)))
-    least = rows.groupBy("f", "part").agg(F.min("v").alias("hub"))
-    inner = rows.join(least, ["f", "part"]).select(F.col("v").alias("src"), F.col("hub").alias("dst"))
-    roots = least.groupBy("f").agg(F.min("hub").alias("root"))
-    outer = least.join(roots, "f").select(F.col("hub").alias("src"), F.col("root").alias("dst"))
-    return inner.unionByName(outer).where("src <> dst").distinct()
+    rows = members.select(F.col(vertex).alias("v"), F.col(feature).alias("f")).where("v is not null and f is not null").distinct()
+    rows, out = materialize(rows, "members"), None
+    for level in range(64):
+        parts = rows.groupBy("f").agg(F.ceil(F.count("*") / most).alias("parts"))
+        crowded = parts.where("parts > 1")
+        last = crowded.isEmpty()
+        if last:  # one hub a feature
+            dealt = rows.withColumn("part", F.lit(0))
+        else:  # the features of more than most members are fewer than members / most
+            dealt = rows.join(crowded, "f", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("v", F.lit(level)), F.col("parts")), F.lit(0)).cast("int"))
+        hubs = dealt.groupBy("f", "part").agg(F.min("v").alias("hub"))
+        links = dealt.join(hubs, ["f", "part"]).select(F.col("v").alias("src"), F.col("hub").alias("dst")).where("src <> dst")
+        out = links if out is None else out.unionByName(links)
+        if last:
+            return out.distinct()
+        rows = materialize(hubs.join(crowded.select("f"), "f", "left_semi").select(F.col("hub").alias("v"), "f").distinct(), "hubs")
+    raise RuntimeError("hubs did not converge")
 
 
 def _head_start(vertex: str, seed: int) -> Column:

@@ -20,7 +20,8 @@ from cairn.storage import materialize
 
 #: Blocks of a source: at least so many, and one for so many documents, up to a bound that keeps the plan small.
 LEAST_BLOCKS, DOCUMENTS_A_BLOCK, MOST_BLOCKS = 256, 50_000, 65_536
-SHARDS = 16
+#: Output shards: at least so many, and one for so many uses of documents, which are shuffled in one task.
+SHARDS, USES_A_SHARD = 16, 500_000
 
 
 def _unit(seed: int, *columns: str) -> Column:
@@ -82,10 +83,10 @@ def plan_mix(blocks: pd.DataFrame, targets: pd.DataFrame, shards: int, seed: int
     return pd.DataFrame(rows, columns=["source", "block", "copy", "shard"]), pd.DataFrame(partial, columns=["source", "block", "copy", "rest"])
 
 
-def mix(documents: DataFrame, targets: DataFrame, shards: int = SHARDS, seed: int = 11, total_tokens: int | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, shards: int | None = None, seed: int = 11, total_tokens: int | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """(shard, position, doc_id, source, copy, n_tokens): the mix, shuffled within each shard.
 
-    A source whose target is 0, that has no tokens or may not be used gives nothing; documents of sources
+    Without shards there are as many as the documents and their repeats ask for. A source whose target is 0, that has no tokens or may not be used gives nothing; documents of sources
     without a target, without id or without tokens are left out; rows of one doc_id count once. A source
     misses its tokens by what its best fitting document leaves open. Empty tables give no rows.
     """
@@ -95,7 +96,12 @@ def mix(documents: DataFrame, targets: DataFrame, shards: int = SHARDS, seed: in
     sized = with_tokens(documents.where(F.col("source").isin(list(goals["source"])) & F.col("doc_id").isNotNull()), ["doc_id", "source"], vocabulary=vocabulary)
     sized = sized.where("n_tokens > 0").groupBy("doc_id").agg(F.max(F.struct("source", "n_tokens")).alias("d")).select("doc_id", "d.source", "d.n_tokens")
     sized = materialize(sized.withColumn("place", _unit(seed, "doc_id")), "sized")
-    count = int(min(MOST_BLOCKS, max(LEAST_BLOCKS, math.ceil(sized.count() / DOCUMENTS_A_BLOCK))))
+    listed_uses = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.count("*").alias("n")).collect()}  # one row per source that the targets name
+    n_documents = sum(listed_uses.values())
+    if shards is None:
+        repeats = dict(zip(goals["source"], goals["max_repeats"]))
+        shards = max(SHARDS, math.ceil(sum(n * max(0, int(repeats[s])) for s, n in listed_uses.items()) / USES_A_SHARD))
+    count = int(min(MOST_BLOCKS, max(LEAST_BLOCKS, math.ceil(n_documents / DOCUMENTS_A_BLOCK))))
     dealt = sized.withColumn("block", F.floor(F.col("place") * count).cast("int"))
     blocks = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")).toPandas()  # at most sources x MOST_BLOCKS rows
     plan, partial = plan_mix(blocks, goals, shards, seed, total_tokens)

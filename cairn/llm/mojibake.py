@@ -119,7 +119,7 @@ class Classifier:
                 out.append((-1, None))
                 continue
             best, text, odds, rest = 0, None, score[0], []
-            for k in np.argsort(-score[1:])[:8] + 1:
+            for k in np.argsort(-score[1:]) + 1:
                 undone = invert(word, CHAINS[k - 1])
                 if undone is None or undone == word or not undone or not plausible(undone):
                     continue
@@ -170,8 +170,10 @@ def trained_on(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Classifi
     texts = documents.where("text is not null").select("doc_id", "text")
     total = texts.count()
     if total > sample:
-        share = int(sample / total * 1_000_000)
-        texts = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share)
+        share = int(sample / total * (1 << 53))
+        if not share:
+            raise ValueError("the sample is too small a share of the corpus to be drawn")
+        texts = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 53)) < share)
     words = texts.select(F.explode(F.array_distinct(F.split("text", r"[ \t\r\n]+"))).alias("w")).where(F.col("w").rlike(r"[^\x00-\x7F]"))
     rows = words.groupBy("w").count().toPandas()  # bounded by the sample
     return train(dict(zip(rows["w"], rows["count"])))

@@ -18,8 +18,8 @@ from cairn.llm.tokens import VOCABULARY, with_tokens
 from cairn.storage import materialize
 
 CAPACITY = 2048
-#: Hash parts within a size, by which items are numbered without bringing all of one size together.
-PARTS = 256
+#: Items of one size that are numbered in one task; a size of more is dealt into hash parts of about that many.
+PART_ROWS = 200_000
 
 
 class CapacityTree:
@@ -109,23 +109,25 @@ def pieces_of(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return out.withColumn("size", F.least(F.lit(capacity), F.col("size") - F.col("start")).cast("int"))
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, parts: int = PARTS) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
     """items (id, size) as pieces with their container: id, piece, start, size, container.
 
     An item larger than the capacity is cut into full pieces and a rest; others are never split. Items of
     no size lie in container 0. Repeated ids are separate items. Rows without id or size, or with a
     negative size, are left out. An empty table needs no container.
     """
-    pieces = pieces_of(items.select("id", "size").where("id is not null and size >= 0"), capacity)
-    pieces = materialize(pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(parts)).cast("int")), "pieces")
+    spark = items.sparkSession
+    pieces = materialize(pieces_of(items.select("id", "size").where("id is not null and size >= 0"), capacity), "pieces")
+    histogram = {int(r["size"]): int(r["n"]) for r in pieces.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most capacity + 1 rows
+    parts = spark.createDataFrame([(s, -(-n // part_rows)) for s, n in histogram.items()], "size int, parts int")
+    pieces = pieces.join(F.broadcast(parts), "size").withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.col("parts")).cast("int")).drop("parts")
     counts = pieces.groupBy("size", "part").agg(F.count("*").alias("n"))
     offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("size").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    offsets = materialize(offsets, "offsets")  # at most (capacity + 1) * parts rows
-    histogram = {int(r["size"]): int(r["n"]) for r in offsets.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most capacity + 1 rows
+    offsets = materialize(offsets, "offsets")  # one row for part_rows items of a size
     runs, _ = best_fit_decreasing(histogram, capacity)
     plan = pd.DataFrame([(r.size, r.first, r.n, r.each, r.container) for r in runs], columns=["size", "first", "n", "each", "container"]).sort_values(["size", "first"])
     columns = {c: plan[c].to_numpy(dtype=np.int64) for c in plan}
-    broadcast = items.sparkSession.sparkContext.broadcast(columns)  # a few runs for each size, whatever the number of items
+    broadcast = spark.sparkContext.broadcast(columns)  # a few runs for each size, whatever the number of items
 
     @F.pandas_udf("long")
     def container(size: pd.Series, rank: pd.Series) -> pd.Series:

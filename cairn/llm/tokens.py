@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
-#: Vocabulary file of byte ranks; a parameter of every operator that counts tokens.
+#: Vocabulary file of byte ranks, on the driver or in storage it can reach; a parameter of every operator that counts tokens.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the public pre-tokenisation pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -30,8 +32,11 @@ def with_tokens(documents: DataFrame, keep: list[str], text: str = "text", vocab
     """The columns keep and n_tokens, the number of tokens of the whole text; null and empty texts have none."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema) + ", n_tokens int"
 
+    documents.sparkSession.sparkContext.addFile(vocabulary)  # sent to each executor once
+    name = os.path.basename(vocabulary)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = encoder(vocabulary)
+        tokenizer = encoder(SparkFiles.get(name))
         for batch in batches:
             sizes = [len(tokenizer.encode_ordinary(t)) if t else 0 for t in batch.pop("_text")]
             yield batch.assign(n_tokens=pd.Series(sizes, dtype="int32", index=batch.index))

@@ -35,7 +35,7 @@ def test_planned_packing_is_best_fit_decreasing(sizes, capacity):
 def test_pack_splits_only_what_is_too_large(spark):
     rng = random.Random(1)
     sizes = [(k, rng.randrange(0, 90)) for k in range(2000)] + [(5000, 250), (5001, 100), (5002, 0), (5002, 0), (None, 4), (5003, None), (5004, -1)] + [(6000 + k, 30) for k in range(1500)]
-    rows = packing.pack(spark.createDataFrame(sizes, "id long, size int"), 100, parts=4).collect()
+    rows = packing.pack(spark.createDataFrame(sizes, "id long, size int"), 100, part_rows=40).collect()
     fill = Counter()
     for r in rows:
         fill[r["container"]] += r["size"]
@@ -129,3 +129,23 @@ def test_garbled_documents_are_found_and_restored(spark):
     exact = [got[k]["restored"] == wrong[k][1] for k in utf8 & set(got)]
     assert sum(exact) >= 0.9 * len(exact)
     assert mojibake.garbled_documents(df.limit(0)).isEmpty()
+
+
+def test_every_chain_is_tried_and_the_sample_is_fine_grained(spark, monkeypatch):
+    words = {w: 5 for t in CLEAN for w in mojibake._words(t)}
+    model, tried = mojibake.train(words), []
+    real = mojibake.invert
+    monkeypatch.setattr(mojibake, "invert", lambda text, chain: tried.append(chain) or real(text, chain))
+    model.judge([mojibake.garble("Fußgänger", mojibake.CHAINS[0])])
+    assert set(tried) == set(mojibake.CHAINS)
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    with pytest.raises(ValueError):
+        mojibake.trained_on(df, sample=1e-15)
+
+
+def test_shards_grow_with_the_documents(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "USES_A_SHARD", 20)
+    docs = spark.createDataFrame([(k, "word " * 5, "a") for k in range(500)], "doc_id long, text string, source string")
+    goals = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    mixed = mixing.mix(docs, goals)
+    assert mixed.count() == 500 and mixed.select("shard").distinct().count() == 25

@@ -38,8 +38,9 @@ def test_connected_groups_of_chains_stars_and_noise(spark):
 
 def test_hot_feature_links_all_without_pairs(spark):
     rows = [(f"m{k:04d}", "hot") for k in range(500)] + [("x", "a"), ("y", "a"), ("z", None), (None, "a")]
-    links = links_of_features(spark.createDataFrame(rows, "v string, f string"), "v", "f", parts=8)
-    assert links.count() < 2 * 500
+    links = links_of_features(spark.createDataFrame(rows, "v string, f string"), "v", "f", most=6)
+    assert links.count() < 2 * 500 and links.groupBy("dst").count().agg({"count": "max"}).first()[0] < 60
+    assert links_of_features(spark.createDataFrame(rows, "v string, f string"), "v", "f").count() == 500
     groups = connected_groups(links)
     assert groups.where("`group` = 'm0000'").count() == 500 and groups.where("`group` = 'x'").count() == 2
 
