@@ -172,8 +172,8 @@ def poi18_audit(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupingSets(sets, "source", "outcome", "family").agg(F.count("*").alias("n")).select("source", "outcome", "family", "n")
 
 
-@book(f"WITH {_NORM}, g AS (SELECT *, count(*) OVER (PARTITION BY norm) AS n, row_number() OVER (PARTITION BY norm ORDER BY coalesce(confidence, -1e0) DESC, key) AS k FROM v_n WHERE category IS NULL) SELECT key, norm FROM g WHERE n >= 2 AND k = 1")
-def poi19_repeated_labels(spark: SparkSession, folder: str, least: int = 2) -> DataFrame:
+@book(f"WITH {_NORM}, g AS (SELECT *, count(*) OVER (PARTITION BY norm) AS n, row_number() OVER (PARTITION BY norm ORDER BY coalesce(confidence, -1e0) DESC, key) AS k FROM v_n WHERE category IS NULL) SELECT key, norm FROM g WHERE n >= 5 AND k = 1")
+def poi19_repeated_labels(spark: SparkSession, folder: str, least: int = 5) -> DataFrame:
     """The best record of every name that classless records carry at least so many times."""
     rows = named(spark, folder).where("category is null")
     g = rows.groupBy("norm").agg(F.count("*").alias("n"), F.min(F.struct((-F.coalesce("confidence", F.lit(-1.0))).alias("c"), "key")).alias("best"))
@@ -186,7 +186,14 @@ def poi20_provenance(spark: SparkSession, folder: str) -> DataFrame:
     return e.groupBy("cluster_id").agg(F.array_join(F.array_sort(F.collect_list("x")), ",").alias("osm_ids"))
 
 
-_RULES = [("MAP_HIDDEN_OVERTURE_ONLY", "coalesce(source, '') = 'overture'"), ("MAP_HIDDEN_NO_CATEGORY", "coalesce(trim(category), '') = ''"), ("MAP_HIDDEN_NOT_USEFUL", "usefulness = 'NONE'"), ("MAP_HIDDEN_SUPPORT", "usefulness = 'SUPPORT' and coalesce(source, '') = 'osm'")]
+# Sources that a map label needs, categories that say nothing, categories one phones rather than drives to.
+MAP_SOURCES, SAY_NOTHING = ("osm", "both"), ("yes", "no", "unknown", "other")
+PHONE_THEM = ("party_and_event_planning", "travel_services", "transportation", "financial_service")
+_CLASS = "coalesce(lower(trim(category)), '')"
+_RULES = [
+    ("MAP_HIDDEN_OVERTURE_ONLY", f"coalesce(lower(trim(source)), '') NOT IN ({_quoted(MAP_SOURCES)})"), ("MAP_HIDDEN_NO_CATEGORY", f"{_CLASS} IN ('', {_quoted(SAY_NOTHING)})"),
+    ("MAP_HIDDEN_PHONE_THEM_CATEGORY", f"{_CLASS} IN ({_quoted(PHONE_THEM)})"), ("MAP_HIDDEN_NOT_A_DESTINATION", "coalesce(usefulness, '') <> 'DESTINATION'"),
+]
 
 
 @book("WITH c AS (SELECT DISTINCT canonical_id, source, category, usefulness FROM canonical_poi), r AS (SELECT canonical_id, list_filter([" + ", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in _RULES) + "], lambda x: x IS NOT NULL) AS failed FROM c) SELECT canonical_id, len(failed) = 0 AS visible, failed[1] AS first_reason, len(failed) AS reasons FROM r")
@@ -290,8 +297,18 @@ def c10_corridor(spark: SparkSession, folder: str, metres: float = 300.0) -> Dat
     return b.withColumn("k", F.row_number().over(W.partitionBy("segment_id").orderBy("detour_m", "key"))).where("k <= 20").drop("k")
 
 
-# Categories that a kind asked for stands for.
-KIND_MAP = {"fuel": ["fuel_station", "gas_station", "petrol_station", "charging_station"], "coffee": ["coffee_shop", "cafe", "tea_room"], "food": ["restaurant", "fast_food_restaurant", "burger_restaurant", "middle_eastern_restaurant"], "pharmacy": ["drugstore", "chemist"], "atm": ["atms", "bank"], "hotel": ["motel", "hostel", "guest_house"], "shop": ["supermarket", "grocery_store", "mall"]}
+# Categories that a kind asked for stands for, besides itself.
+KIND_MAP = {
+    "fuel": ["fuel_station", "gas_station", "petrol_station", "charging_station"],
+    "coffee": ["coffee_shop", "cafe", "tea_room", "bubble_tea_shop"],
+    "food": ["restaurant", "fast_food_restaurant", "food_court", "indian_restaurant", "pizza_restaurant", "burger_restaurant", "seafood_restaurant", "chinese_restaurant", "turkish_restaurant", "lebanese_restaurant", "asian_restaurant", "italian_restaurant"],
+    "parking": ["parking", "parking_lot", "parking_garage"],
+    "pharmacy": ["pharmacy", "drugstore", "chemist"],
+    "atm": ["atm", "bank"],
+    "hotel": ["hotel", "motel", "hostel", "guest_house"],
+    "hospital": ["hospital", "clinic", "medical_lab", "medical_center"],
+    "shop": ["supermarket", "shopping", "shopping_center", "mall", "clothing_store", "grocery_store", "convenience_store"],
+}
 
 
 @book(f"WITH {POIS}, m AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{c}')" for k, v in KIND_MAP.items() for c in {*v, k}) + ") x(kind, cat)) SELECT kind, source, count(*) AS n FROM v_poi JOIN m ON lower(trim(category)) = cat GROUP BY 1, 2")

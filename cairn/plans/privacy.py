@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from cairn.functions.geo import RADIUS_ROUND, haversine
-from cairn.operators.spatial import islands
+from cairn.operators import sequential as S
 from cairn.plans.base import NOW_MS, PROBES, Book, probes, r_sql, rounded
 from cairn.plans.spatial import haversine_sql
 from cairn.storage import table
@@ -18,6 +20,32 @@ ACCURACY_M, TRUNCATE_M, ROUND_S, MAX_AGE_DAYS, TTL_H = 25.0, 200.0, 5, 365, 72
 AGE_BUCKETS = {"7d": 7, "30d": 30, "90d": 90, "365d": 365}
 
 
+#: Key of pseudonyms and digests: the session's setting, or this one, which is no secret and only for tests.
+KEY_SETTING, TEST_KEY = "cairn.trip.key", "key for tests only"
+
+
+def _pads(key: str) -> tuple[str, str]:
+    """Inner and outer padded key of HMAC-SHA256, in hexadecimal digits."""
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in raw).hex(), bytes(b ^ 0x5C for b in raw).hex()
+
+
+def hmac_sha256(text: Column, key: str) -> Column:
+    """Keyed digest in hexadecimal digits, of built-in expressions only."""
+    inner, outer = (F.unhex(F.lit(pad)) for pad in _pads(key))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(text, "UTF-8")), 256))), 256)
+
+
+def hmac_sql(text: str, key: str = TEST_KEY) -> str:
+    inner, outer = _pads(key)
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({text}))))"
+
+
+def trip_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, TEST_KEY)
+
+
 def normal_ms(t: Column) -> Column:
     """Milliseconds, where a value can only be seconds rescaled."""
     return F.when((F.abs(t) > 100_000_000) & (F.abs(t) < 100_000_000_000), t * 1000).otherwise(t)
@@ -89,14 +117,15 @@ def v4_truncate_ends(spark: SparkSession, folder: str) -> DataFrame:
     return travelled(spark, folder).where((_c("cum") >= TRUNCATE_M * 1000) & (_c("total") - _c("cum") >= TRUNCATE_M * 1000)).select("id", "trip")
 
 
-@book(f"""WITH {PROBES}, s AS (SELECT *, coalesce(t - lag(t) OVER w > 8000, FALSE) AS new FROM v_probe WINDOW w AS (PARTITION BY trip ORDER BY t, id)), i AS (SELECT *, sum(new::INT) OVER (PARTITION BY trip ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS part FROM s)
+#: Milliseconds of a pause beyond which a recording is another trip.
+GAP_MS = 300_000
+
+
+@book(f"""WITH {PROBES}, s AS (SELECT *, coalesce(t - lag(t) OVER w > {GAP_MS}, FALSE) AS new FROM v_probe WINDOW w AS (PARTITION BY trip ORDER BY t, id)), i AS (SELECT *, sum(new::INT) OVER (PARTITION BY trip ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS part FROM s)
 SELECT trip, CAST(part AS BIGINT) AS part, count(*) AS fixes, min(t) AS began, max(t) AS ended FROM i GROUP BY 1, 2""")
-def v6_gap_split(spark: SparkSession, folder: str, gap_ms: int = 8_000) -> DataFrame:
-    """Trips cut where a recorder paused for longer than gap_ms, 5 minutes in production; the test tables have few pauses that long."""
-    p = probes(spark, folder)
-    w = W.partitionBy("trip").orderBy("t", "id")
-    cut = islands(p, ["trip"], ["t", "id"], _c("t") - F.lag("t").over(w) > gap_ms)
-    return cut.groupBy("trip", _c("island").alias("part")).agg(F.count("*").alias("fixes"), F.min("t").alias("began"), F.max("t").alias("ended"))
+def v6_gap_split(spark: SparkSession, folder: str, gap_ms: int = GAP_MS) -> DataFrame:
+    """Trips cut where a recorder paused for longer than gap_ms."""
+    return S.stretches(probes(spark, folder).select("trip", "t", "id"), gap_ms).groupBy("trip", "part").agg(F.count("*").alias("fixes"), F.min("t").alias("began"), F.max("t").alias("ended"))
 
 
 @book(f"""WITH {PROBES}, a AS (SELECT CASE WHEN t < {NOW_MS} - 31536000000 THEN 'too_old' WHEN ({NOW_MS} - t) / 86400000e0 <= 7 THEN '7d' WHEN ({NOW_MS} - t) / 86400000e0 <= 30 THEN '30d' WHEN ({NOW_MS} - t) / 86400000e0 <= 90 THEN '90d' ELSE '365d' END AS bucket FROM v_probe) SELECT bucket, count(*) AS n FROM a GROUP BY 1""")
@@ -108,14 +137,6 @@ def v8_age_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return probes(spark, folder).groupBy(out.otherwise("365d").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@book(f"""WITH {PROBES}, d AS (SELECT trip, t, (t - lag(t) OVER (PARTITION BY trip ORDER BY t, id)) / 1000e0 AS gap FROM v_probe), m AS (SELECT trip, count(*) AS fixes, quantile_cont(gap, 0.5) AS step FROM d GROUP BY 1)
-SELECT trip, fixes, {r_sql('step')} AS step_s, CASE WHEN fixes < 4 THEN 'too_short' WHEN step > 60 THEN 'sparse' WHEN fixes > 100000 THEN 'too_long' ELSE 'accepted' END AS verdict FROM m""")
-def v12_import_plan(spark: SparkSession, folder: str) -> DataFrame:
-    w = W.partitionBy("trip").orderBy("t", "id")
-    m = probes(spark, folder).withColumn("gap", (_c("t") - F.lag("t").over(w)) / 1000.0).groupBy("trip").agg(F.count("*").alias("fixes"), F.percentile("gap", 0.5).alias("step"))
-    return m.select("trip", "fixes", rounded(_c("step")).alias("step_s"), F.when(_c("fixes") < 4, "too_short").when(_c("step") > 60, "sparse").when(_c("fixes") > 100_000, "too_long").otherwise("accepted").alias("verdict"))
-
-
 @book(f"WITH {PROBES} SELECT id, trip, t FROM v_probe ORDER BY id DESC LIMIT 100")
 def v13_recent(spark: SparkSession, folder: str) -> DataFrame:
     return probes(spark, folder).select("id", "trip", "t").orderBy(_c("id").desc()).limit(100)
@@ -141,10 +162,11 @@ def v16_nearby(spark: SparkSession, folder: str) -> DataFrame:
     return b.join(newest, "id", "left").where(metres <= 2000).select("id", rounded(metres, 1).alias("metres"), F.coalesce("hit", F.lit(False)).alias("within_limit"))
 
 
-@book(f"WITH {PROBES} SELECT day, count(*) AS kept FROM v_probe WHERE t >= {NOW_MS} - 259200000 * 5 GROUP BY 1")
-def v17_retention(spark: SparkSession, folder: str, hours: int = TTL_H * 5) -> DataFrame:
-    """Fixes left per day after deleting those older than hours; stored by day, whole older days are never read."""
-    return probes(spark, folder).where(_c("t") >= NOW_MS - hours * 3_600_000).groupBy("day").agg(F.count("*").alias("kept"))
+@book(f"WITH {PROBES} SELECT day, count(*) AS kept FROM v_probe WHERE t >= (SELECT max(t) FROM v_probe) - {TTL_H} * 3600000 GROUP BY 1")
+def v17_retention(spark: SparkSession, folder: str, hours: int = TTL_H) -> DataFrame:
+    """Fixes left per day after deleting those older than hours before the newest; stored by day, whole older days are never read."""
+    newest = probes(spark, folder).agg(F.max("t").alias("newest"))
+    return probes(spark, folder).join(F.broadcast(newest), F.lit(True)).where(_c("t") >= _c("newest") - hours * 3_600_000).groupBy("day").agg(F.count("*").alias("kept"))
 
 
 _REASONS = ["kept", "malformed", "out_of_bounds", "accuracy", "no_time", "truncated", "out_of_order"]
@@ -160,18 +182,59 @@ def v18_counters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
-@book("SELECT trip_pseudonym AS trip, sha256(trip_pseudonym || ':' || '2025') AS keyed, regexp_full_match(trip_pseudonym, '[A-Za-z0-9_-]{8,64}') AS valid FROM observation GROUP BY ALL")
+# What a trip token may look like, and the reason given for one that does not.
+TOKEN, NO_TOKEN = "^[A-Za-z0-9_-]{16,128}$", "no_trip_token"
+
+
+@book(f"""WITH k AS (SELECT DISTINCT trip_pseudonym AS token FROM observation UNION ALL SELECT DISTINCT doc_id || '' FROM documents)
+SELECT token, CASE WHEN regexp_matches(token, '{TOKEN}') THEN 'trip_' || substr({hmac_sql('token')}, 1, 32) END AS pseudonym, CASE WHEN NOT regexp_matches(token, '{TOKEN}') THEN '{NO_TOKEN}' END AS reason FROM k""")
 def v5_keyed_trip(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "observation").select(_c("trip_pseudonym").alias("trip")).distinct().select("trip", F.sha2(F.concat("trip", F.lit(":2025")), 256).alias("keyed"), _c("trip").rlike("^[A-Za-z0-9_-]{8,64}$").alias("valid"))
+    """Keyed pseudonyms of trip tokens; what is no token gets none here, as a random one would make the query differ from run to run."""
+    tokens = table(spark, folder, "observation").select(_c("trip_pseudonym").alias("token")).distinct().unionByName(table(spark, folder, "documents").select(_c("doc_id").cast("string").alias("token")).distinct())
+    good = _c("token").rlike(TOKEN)
+    return tokens.select("token", F.when(good, F.concat(F.lit("trip_"), F.substring(hmac_sha256(_c("token"), trip_key(spark)), 1, 32))).alias("pseudonym"), F.when(~good, NO_TOKEN).alias("reason"))
 
 
-@book(f"""WITH {PROBES}, h AS (SELECT trip, t // 3600000 AS hour, sha256(string_agg(CAST(floor(lat * 100000e0 + 0.5e0) AS BIGINT) || ',' || CAST(floor(lon * 100000e0 + 0.5e0) AS BIGINT) || ',' || t, '|' ORDER BY t, id)) AS d FROM v_probe GROUP BY 1, 2) SELECT trip, sha256(string_agg(d, '|' ORDER BY hour)) AS digest FROM h GROUP BY 1""")
-def v20_trip_digest(spark: SparkSession, folder: str) -> DataFrame:
-    """A digest of each trip over its ordered places and times, by hours and then by the hours' digests, so that no task gathers a whole trip."""
+_DIGEST = f"""h AS (SELECT trip, t // 3600000 AS hour, sha256(string_agg(CAST(floor(lat * 100000e0 + 0.5e0) AS BIGINT) || ',' || CAST(floor(lon * 100000e0 + 0.5e0) AS BIGINT) || ',' || t, '|' ORDER BY t, id)) AS d FROM v_probe GROUP BY 1, 2),
+dg AS (SELECT trip, {hmac_sql("string_agg(d, '|' ORDER BY hour)")} AS digest FROM h GROUP BY 1)"""
+
+
+def digests(spark: SparkSession, folder: str) -> DataFrame:
+    """(trip, digest): keyed, over the ordered places and times, by hours and then by the hours' digests, so that no task gathers a whole trip."""
     line = F.concat_ws(",", F.floor(_c("lat") * 100000 + 0.5), F.floor(_c("lon") * 100000 + 0.5), "t")
     hours = probes(spark, folder).groupBy("trip", F.floor(_c("t") / 3_600_000).alias("hour")).agg(F.array_sort(F.collect_list(F.struct("t", "id", line.alias("x")))).alias("xs"))
     hours = hours.select("trip", "hour", F.sha2(F.array_join(F.transform("xs", lambda s: s["x"]), "|"), 256).alias("d"))
-    return hours.groupBy("trip").agg(F.array_sort(F.collect_list(F.struct("hour", "d"))).alias("xs")).select("trip", F.sha2(F.array_join(F.transform("xs", lambda s: s["d"]), "|"), 256).alias("digest"))
+    whole = hours.groupBy("trip").agg(F.array_sort(F.collect_list(F.struct("hour", "d"))).alias("xs"))
+    return whole.select("trip", hmac_sha256(F.array_join(F.transform("xs", lambda s: s["d"]), "|"), trip_key(spark)).alias("digest"))
+
+
+@book(f"WITH {PROBES}, {_DIGEST} SELECT trip, digest FROM dg")
+def v20_trip_digest(spark: SparkSession, folder: str) -> DataFrame:
+    return digests(spark, folder)
+
+
+# Fixes that a trip to import must have, and the median step in seconds from which it is sparse.
+LEAST_FIXES, SPARSE_S = 4, 60
+
+
+def _gaps(fixes: DataFrame) -> DataFrame:
+    """fixes (trip, t, id) with gap, the seconds since the fix before; in hours and over the hours of a trip, so that no window spans a whole trip."""
+    f = fixes.withColumn("hour", F.floor(_c("t") / 3_600_000))
+    ends = f.groupBy("trip", "hour").agg(F.max("t").alias("last"))
+    before = ends.select("trip", "hour", F.lag("last").over(W.partitionBy("trip").orderBy("hour")).alias("before"))
+    lag = F.lag("t").over(W.partitionBy("trip", "hour").orderBy("t", "id"))
+    return f.join(before, ["trip", "hour"]).withColumn("gap", (_c("t") - F.coalesce(lag, _c("before"))) / 1000.0)
+
+
+@book(f"""WITH {PROBES}, {_DIGEST}, d AS (SELECT trip, t, (t - lag(t) OVER (PARTITION BY trip ORDER BY t, id)) / 1000e0 AS gap FROM v_probe), m AS (SELECT trip, count(*) AS fixes, quantile_cont(gap, 0.5) AS step FROM d GROUP BY 1), f AS (SELECT digest, min(trip) AS first FROM dg GROUP BY 1)
+SELECT trip, fixes, {r_sql('step')} AS step_s, CASE WHEN fixes < 4 THEN 'too_short' WHEN step > 60 THEN 'sparse' WHEN trip <> first THEN 'duplicate' ELSE 'accepted' END AS verdict FROM m JOIN dg USING (trip) JOIN f USING (digest)""")
+def v12_import_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """What becomes of each trip: refused for too few fixes or too long steps, known already by its digest, or accepted."""
+    m = _gaps(probes(spark, folder).select("trip", "t", "id")).groupBy("trip").agg(F.count("*").alias("fixes"), F.percentile("gap", 0.5).alias("step"))
+    d = digests(spark, folder)
+    first = d.groupBy("digest").agg(F.min("trip").alias("first"))
+    verdict = F.when(_c("fixes") < LEAST_FIXES, "too_short").when(_c("step") > SPARSE_S, "sparse").when(_c("trip") != _c("first"), "duplicate").otherwise("accepted")
+    return m.join(d, "trip").join(first, "digest").select("trip", "fixes", rounded(_c("step")).alias("step_s"), verdict.alias("verdict"))
 
 
 @book("SELECT id, CASE WHEN starts_with(ltrim(text), '<?xml') OR starts_with(ltrim(text), '<gpx') THEN 'gpx' WHEN starts_with(ltrim(text), '{') THEN 'geojson' WHEN starts_with(ltrim(text), '#') THEN 'markdown' WHEN trim(text) = '' THEN 'empty' ELSE 'text' END AS kind FROM (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL) q")

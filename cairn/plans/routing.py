@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from cairn.functions import geo
 from cairn.operators import graph
-from cairn.operators.spatial import nearest
+from cairn.operators.spatial import bucket_join, nearest, padded
 from cairn.plans.base import PIECES, VERTICES, Book, pieces, r_sql, rounded, vertices
 from cairn.plans.spatial import _INC, haversine_sql, incident_points
 
@@ -130,5 +130,6 @@ def r18_r19_snap_by_component(spark: SparkSession, folder: str) -> DataFrame:
     comp = graph.components(cell_edges(spark, folder))
     v = vertices(spark, folder).select("lon", "lat", (F.floor(_c("lon") / 0.004) * 100000 + F.floor(_c("lat") / 0.004)).alias("node")).distinct().join(comp, "node")
     others = v.select(_c("component").alias("other_id"), _c("lon").alias("o_lon"), _c("lat").alias("o_lat"))
-    near = nearest(incident_points(spark, folder), others, 400.0, geo.haversine("lon", "lat", "o_lon", "o_lat"), 1_000_000)
+    boxes = padded(others.withColumns({"lon1": _c("o_lon"), "lon2": _c("o_lon"), "lat1": _c("o_lat"), "lat2": _c("o_lat")}), 410.0).drop("lon1", "lat1", "lon2", "lat2")
+    near = bucket_join(incident_points(spark, folder), boxes, 0.006).withColumn("metres", rounded(geo.haversine("lon", "lat", "o_lon", "o_lat"))).where(_c("metres") <= 400)
     return near.groupBy("id", _c("other_id").alias("component")).agg(F.min("metres").alias("metres"))

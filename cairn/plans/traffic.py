@@ -162,8 +162,15 @@ def t12_newest_incidents(spark: SparkSession, folder: str) -> DataFrame:
 
 @book(f"""WITH {_MATCH}, b AS (SELECT segment_id, {_BAND} AS band, trip, speed_kmh FROM mt JOIN v_probe USING (id) WHERE speed_kmh IS NOT NULL AND t >= (SELECT max(t) FROM v_probe) - 2592000000)
 SELECT segment_id, CAST(band AS INTEGER) AS band, {r_sql('quantile_cont(speed_kmh, 0.5)', 2)} AS median_kmh, count(DISTINCT trip) AS trips FROM b GROUP BY 1, 2 HAVING count(DISTINCT trip) >= 2""")
-def t14_speed_profiles(spark: SparkSession, folder: str, keep_ms: int = 2_592_000_000, least_trips: int = 2) -> DataFrame:
-    """Median speed per segment and band with its distinct trips; production keeps 72 hours and asks for 5 trips, the sparse test tables give rows for these defaults."""
+def t14_sparse_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """The profiles with thresholds at which the sparse test tables give rows: 30 days and two trips."""
+    return t14_speed_profiles(spark, folder, 2_592_000_000, 2)
+
+
+@book(f"""WITH {_MATCH}, b AS (SELECT segment_id, {_BAND} AS band, trip, speed_kmh FROM mt JOIN v_probe USING (id) WHERE speed_kmh IS NOT NULL AND t >= (SELECT max(t) FROM v_probe) - 259200000)
+SELECT segment_id, CAST(band AS INTEGER) AS band, {r_sql('quantile_cont(speed_kmh, 0.5)', 2)} AS median_kmh, count(DISTINCT trip) AS trips FROM b GROUP BY 1, 2 HAVING count(DISTINCT trip) >= 5""")
+def t14_speed_profiles(spark: SparkSession, folder: str, keep_ms: int = 259_200_000, least_trips: int = 5) -> DataFrame:
+    """Median speed per segment and band of the last 72 hours, where at least 5 distinct trips stand behind it."""
     newest = probes(spark, folder).agg(F.max("t").alias("newest"))
     p = valid_probes(spark, folder).where("speed_kmh is not null").join(F.broadcast(newest)).where(_c("t") >= _c("newest") - keep_ms).select("id", "trip", "speed_kmh", time_band(_c("t")).alias("band"))
     g = matched(spark, folder).join(p, "id").groupBy("segment_id", "band").agg(rounded(F.percentile("speed_kmh", 0.5), 2).alias("median_kmh"), F.countDistinct("trip").alias("trips"))
