@@ -197,6 +197,103 @@ def spaced(least_m: float = 15.0) -> Callable[[], Callable]:
     return start
 
 
+def _foot(feet, around: float | None = None, back: float = 0.0, ahead: float = 0.0):
+    """(along, offset) of the nearest foot, of those from back behind to ahead of a place if one is given; the least along of equal ones."""
+    some = [(f["offset"], f["along"]) for f in feet if around is None or around - back <= f["along"] <= around + ahead]
+    return (min(some)[1], min(some)[0]) if some else None
+
+
+def route_tracker(off_m: float = 60.0, snap_m: float = 40.0, gain: float = 0.25, back_m: float = 40.0, ahead_m: float = 120.0, reckon_s: float = 3.0) -> Callable[[], Callable]:
+    """State and place along its route after each fix (t, speed, feet).
+
+    Between fixes the place is dead reckoned by the last speed, for reckon_s at most; without a fix for
+    longer the lock is lost. A locked fix is looked up around the place, if that is too far off anywhere; it
+    corrects the place by gain.
+    """
+    def start():
+        place, locked, speed, last = 0.0, False, 0.0, None
+
+        def step(row):
+            nonlocal place, locked, speed, last
+            if last is not None:
+                since = (row.t - last) / 1000.0
+                if since > reckon_s:
+                    locked = False
+                elif locked:
+                    place += speed * since
+            foot = _foot(row.feet, place, back_m, ahead_m) if locked else _foot(row.feet)
+            if locked and (foot is None or foot[1] > off_m):
+                anywhere = _foot(row.feet)
+                foot = anywhere if anywhere is not None and (foot is None or anywhere[1] <= snap_m) else foot
+            last = row.t
+            if _number(row.speed) and row.speed >= 0:
+                speed = row.speed
+            if foot is None or foot[1] > off_m:
+                locked = False
+                return ("off_route", None)
+            if foot[1] <= snap_m:
+                place = place + (foot[0] - place) * gain if locked else foot[0]
+                locked = True
+            elif not locked:
+                return ("off_route", None)
+            return ("on_route", round(place, 2))
+
+        return step
+
+    return start
+
+
+def walk_follower(on_m: float = 25.0, off_m: float = 45.0, persist_ms: int = 6_000, back_m: float = 20.0, ahead_m: float = 40.0, pace: float = 1.35, slack: float = 1.5, cap_m: float = 60.0) -> Callable[[], Callable]:
+    """State and place along its way after each fix (t, accuracy, feet): on the way, uncertain, or off it once outside for persist_ms.
+
+    Unsharp fixes widen both limits, up to cap_m. The place goes forward with the fixes, and back no faster
+    than a walk with some slack.
+    """
+    def start():
+        place, locked, outside, last = 0.0, False, None, None
+
+        def step(row):
+            nonlocal place, locked, outside, last
+            foot = _foot(row.feet, place, back_m, ahead_m) if locked else _foot(row.feet)
+            if foot is None:
+                foot = _foot(row.feet) or (0.0, float("inf"))
+            wide = min(row.accuracy * slack, cap_m) if _number(row.accuracy) and row.accuracy > 0 else 0.0
+            near, far = max(on_m, wide), max(off_m, wide + (off_m - on_m))
+            if foot[1] >= far:
+                outside = row.t if outside is None else outside
+            else:
+                outside = None
+            if foot[1] <= near:
+                since = (row.t - last) / 1000.0 if last is not None and row.t > last else 1.0
+                place = foot[0] if not locked or foot[0] >= place else max(foot[0], place - pace * since * slack)
+                locked = True
+            last = row.t
+            state = "on_route" if foot[1] <= near else "off_route" if outside is not None and row.t - outside >= persist_ms else "uncertain"
+            locked = locked and state != "off_route"
+            return (state, round(place, 2) if locked else None)
+
+        return step
+
+    return start
+
+
+def same_lights(merge_m: float = 10.0) -> Callable[[], Callable]:
+    """Whether a signal (along, lon, lat) is kept: not if it stands within reach of the last one kept, along the line and in place."""
+    def start():
+        last = None
+
+        def step(row):
+            nonlocal last
+            if last is not None and row.along <= last.along + merge_m and metres(row.lon, row.lat, last.lon, last.lat) <= merge_m:
+                return (False,)
+            last = row
+            return (True,)
+
+        return step
+
+    return start
+
+
 def stretches(fixes: DataFrame, gap_ms: int = 300_000) -> DataFrame:
     """fixes (trip, t, id) with part, the stretch of the trip between pauses longer than gap_ms.
 
