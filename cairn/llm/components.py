@@ -53,24 +53,27 @@ def _head_start(vertex: str, seed: int) -> Column:
     return F.greatest(F.lit(0.0), F.lit(float(GROWTH_STEPS)) + F.log(unit) / START_RATE)
 
 
-def _decompose(edges: DataFrame, seed: int) -> DataFrame:
-    """(v, center) for every vertex with an edge; v and center are always in one component."""
-    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    both = edges.select(ends.alias("e")).select("e.src", "e.dst", F.lit(1.0).alias("step"))
-    vertices = both.groupBy(F.col("src").alias("v")).agg(F.lit(0.0).alias("step"))
-    reached = vertices.select("v", F.struct(_head_start("v", seed).alias("at"), F.col("v").alias("center")).alias("best"))
-    both = both.unionByName(vertices.select(F.col("v").alias("src"), F.col("v").alias("dst"), "step"))  # who stays keeps what it has
-    for _ in range(GROWTH_STEPS):
+def _arcs(ends: DataFrame) -> DataFrame:
+    """Distinct (src, dst, step) of rows (src, dst) that stand for links: both directions at one step, and staying at none."""
+    a, b = F.col("src"), F.col("dst")
+    each = [F.struct(x.alias("src"), y.alias("dst"), F.lit(step).alias("step")) for x, y, step in ((a, b, 1.0), (b, a, 1.0), (a, a, 0.0), (b, b, 0.0))]
+    return ends.select(F.explode(F.array(*each)).alias("e")).select("e.*").distinct()
+
+
+def _decompose(arcs: DataFrame, seed: int) -> DataFrame:
+    """(v, center) for every vertex of arcs; v and center are always in one component."""
+    reached = arcs.where("step = 0").select(F.col("src").alias("v"), F.struct(_head_start("src", seed).alias("at"), F.col("src").alias("center")).alias("best"))
+    for _ in range(GROWTH_STEPS):  # arcs are sent by src once and serve all steps; who stays keeps what it has
         at = F.struct((F.col("best.at") + F.col("step")).alias("at"), F.col("best.center").alias("center"))
-        reached = both.join(reached, both.src == reached.v).select(F.col("dst").alias("v"), at.alias("best")).groupBy("v").agg(F.min("best").alias("best"))
+        reached = arcs.join(reached, arcs.src == reached.v).select(F.col("dst").alias("v"), at.alias("best")).groupBy("v").agg(F.min("best").alias("best"))
     return reached.select("v", F.col("best.center").alias("center"))
 
 
-def _step(edges: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    moved = materialize(_decompose(edges, seed), "clusters")
+def _step(arcs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    moved = materialize(_decompose(arcs, seed), "clusters")
     a, b = moved.select(F.col("v").alias("src"), F.col("center").alias("a")), moved.select(F.col("v").alias("dst"), F.col("center").alias("b"))
-    kept = edges.join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-    return moved, materialize(kept, "edges")
+    kept = arcs.where("src < dst").join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+    return moved, materialize(_arcs(kept.distinct()), "arcs")
 
 
 def connected_groups(edges: DataFrame, src: str = "src", dst: str = "dst", seed: int = 7, max_rounds: int = 200) -> DataFrame:
@@ -80,17 +83,17 @@ def connected_groups(edges: DataFrame, src: str = "src", dst: str = "dst", seed:
     gives an empty result. The result holds all vertices; max_rounds only guards against a fault and
     raises rather than return a part.
     """
-    edges = materialize(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges")
+    arcs = materialize(_arcs(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src <> dst")), "arcs")
     levels: list[DataFrame] = []
     for k in range(max_rounds):
-        if edges.isEmpty():
+        if arcs.isEmpty():
             break
-        moved, edges = _step(edges, seed + k)
+        moved, arcs = _step(arcs, seed + k)
         levels.append(moved)
     else:
         raise RuntimeError("components did not converge")
     if not levels:
-        return edges.select(F.col("src").alias("vertex"), F.col("dst").alias("group"))
+        return arcs.select(F.col("src").alias("vertex"), F.col("dst").alias("group"))
     final = levels[-1]
     for lower in reversed(levels[:-1]):  # the upper levels shrink geometrically, so this costs as much as the first
         upper = final.select(F.col("v").alias("center"), F.col("center").alias("top"))
