@@ -16,6 +16,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return implausible_readings(table(spark, folder, "observation")).select("id", "field")
 
 
+def p4_impossible(spark: SparkSession, folder: str) -> DataFrame:
+    return implausible_readings(table(spark, folder, "observation")).where("reason = 'impossible'").select("id", "field")
+
+
 #: Area in which a point counts as placed: west, south, east, north.
 COUNTRY = (50.5, 24.2, 52.0, 26.6)
 
@@ -45,11 +49,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found}
+QUERIES = {"p4_found": p4_found, "p4_impossible": p4_impossible, "p5_found": p5_found}
 _BOX = "BETWEEN 50.5e0 AND 52e0 AND {lat} BETWEEN 24.2e0 AND 26.6e0"
 _INSIDE = """SELECT '{name}' AS relation, p.id AS left_id, e.id AS right_id FROM {points} p JOIN box ON p.lon BETWEEN w AND e AND p.lat BETWEEN s AND n JOIN ed e ON e.id = box.id
  GROUP BY p.id, p.lon, p.lat, e.id HAVING count(*) FILTER (WHERE (e.y > p.lat) <> (e.y2 > p.lat) AND p.lon < (e.x2 - e.x) * (p.lat - e.y) / (e.y2 - e.y) + e.x) % 2 = 1"""
 SQL: dict[str, str] = {
+    "p4_impossible": """SELECT id, 'speed' AS field FROM observation WHERE t IS NOT NULL AND trip_pseudonym IS NOT NULL AND (isnan(speed) OR speed < 0 OR speed > 80)
+UNION ALL SELECT id, 'accuracy' FROM observation WHERE t IS NOT NULL AND trip_pseudonym IS NOT NULL AND (isnan(accuracy) OR accuracy <= 0 OR accuracy > 5000)""",
     "p5_found": f"""WITH {PIECES}, {_INC.replace("pts AS", "every AS")}, pts AS (SELECT * FROM every WHERE lon {_BOX.format(lat="lat")}), ob AS (SELECT CAST(id AS VARCHAR) AS id, lng AS lon, lat FROM observation WHERE lng {_BOX.format(lat="lat")}),
 np AS (SELECT p.id, p.lon, p.lat, s.segment_id, s.seq, s.lon1, s.lat1, s.lon2, s.lat2 FROM pts p JOIN v_piece s ON p.lon BETWEEN least(s.lon1, s.lon2) - 0.0013e0 AND greatest(s.lon1, s.lon2) + 0.0013e0 AND p.lat BETWEEN least(s.lat1, s.lat2) - 0.0011e0 AND greatest(s.lat1, s.lat2) + 0.0011e0), {_OFFSET.format(src="np")},
 {_RINGS}, ed AS (SELECT * FROM (SELECT id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM rxy WINDOW w AS (PARTITION BY id, ring ORDER BY seq)) q WHERE y <> y2), box AS (SELECT id, min(x) AS w, max(x) AS e, min(y) AS s, max(y) AS n FROM rxy GROUP BY 1)

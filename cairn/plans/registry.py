@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.plans import classify, features, guidance, journeys, places, privacy, problems, roads, routing, sequences, spatial, tiles, traffic
+from cairn.plans import classify, features, formats, guidance, journeys, places, privacy, problems, roads, routing, sequences, spatial, tiles, traffic
 
-MODULES = [problems, classify, spatial, traffic, privacy, places, guidance, routing, roads, tiles, sequences, features, journeys]
+MODULES = [problems, classify, spatial, traffic, privacy, places, guidance, routing, roads, tiles, sequences, features, journeys, formats]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

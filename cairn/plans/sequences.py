@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairn.functions import geo
 from cairn.operators import sequential as S
-from cairn.plans.base import PROBES, Book, lines, picked, pieces, pois, probes
+from cairn.plans.base import POIS, PROBES, Book, lines, picked, pieces, pois, probes
 from cairn.plans.places import named
 from cairn.operators.spatial import match_points
 from cairn.plans.privacy import _CUM, gate
@@ -16,6 +16,7 @@ from cairn.plans.spatial import _measured
 from cairn.plans.tiles import _BAD, _ENV, _INTENTS, envelope_fault
 from cairn.plans.traffic import _MATCH, MATCH_M, matched, valid_probes
 from cairn.sources import vector_tiles
+from cairn.plans.spatial import _XY
 from cairn.storage import shared_folder
 from cairn.streaming import trips as streams
 
@@ -98,7 +99,13 @@ def l10_encoded_tiles(spark: SparkSession, folder: str) -> DataFrame:
     return vector_tiles.bake(tile_features(spark, folder)).select("z", "x", "y", "features", "bytes", F.sha2("tile", 256).alias("digest"))
 
 
-@book()
+@book(f"WITH {POIS}, t AS (SELECT DISTINCT key, lon, lat, source, name, category, brand, address, confidence, {_XY.format(n=2**14)} FROM v_poi WHERE abs(lat) < 85) SELECT CAST(14 AS INTEGER) AS z, x, y, count(*) AS features FROM t GROUP BY ALL")
+def l10_tile_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of each tile, counted in its bytes."""
+    return vector_tiles.check_tiles(vector_tiles.bake(tile_features(spark, folder))).select("z", "x", "y", _c("found").cast("long").alias("features"))
+
+
+@book(f"WITH {POIS}, t AS (SELECT DISTINCT key, lon, lat, source, name, category, brand, address, confidence, {_XY.format(n=2**14)} FROM v_poi WHERE abs(lat) < 85), c AS (SELECT x, y, count(*) AS n FROM t GROUP BY 1, 2) SELECT 'valid' AS verdict, count(*) AS tiles, sum(n) AS features FROM c")
 def l11_l22_checked_tiles(spark: SparkSession, folder: str) -> DataFrame:
     return vector_tiles.check_tiles(vector_tiles.bake(tile_features(spark, folder))).groupBy("verdict").agg(F.count("*").alias("tiles"), F.sum("found").alias("features"))
 

@@ -14,15 +14,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 MOST_POINTS = 500_000
 
 
+_FEATURE = "struct<id:string,geometry:struct<type:string,coordinates:string>,properties:string>"
+
+
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """Features of GeoJSON collections: id, geometry_type, coordinates and properties as JSON text, bbox of all vertices.
 
     The id falls back to the property id and then to the place in the file; features without geometry are
-    dropped; a file that is no collection gives no rows.
+    dropped; a file that is no collection gives no rows. A collection is one text and read by one task, of
+    2 GB at most; larger data come as many files, or by lines (read_geojson_lines).
     """
-    raw = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    feature = "struct<id:string,geometry:struct<type:string,coordinates:string>,properties:string>"
-    rows = raw.select("file", F.from_json("value", f"struct<features:array<{feature}>>").alias("c")).select("file", F.posexplode("c.features").alias("k", "f"))
+    raw = spark.read.text(path, wholetext=True)
+    return _features(raw.select(F.from_json("value", f"struct<features:array<{_FEATURE}>>").alias("c")).select(F.posexplode("c.features").alias("k", "f")))
+
+
+def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same of files with one feature a line, with or without record separators; split over tasks like any text. Lines that are no feature are dropped."""
+    line = F.regexp_replace("value", "^[\\u001e\\s]+", "")
+    return _features(spark.read.text(path).select(F.lit(None).cast("int").alias("k"), F.from_json(line, _FEATURE).alias("f")))
+
+
+def _features(rows: DataFrame) -> DataFrame:
     rows = rows.where("f.geometry is not null and f.geometry.coordinates is not null")
     pairs = F.regexp_extract_all(F.col("f.geometry.coordinates"), F.lit(r"\[\s*(-?\d+\.?\d*(?:[eE][-+]?\d+)?)\s*,\s*-?\d"), F.lit(1))
     second = F.regexp_extract_all(F.col("f.geometry.coordinates"), F.lit(r"\[\s*-?\d+\.?\d*(?:[eE][-+]?\d+)?\s*,\s*(-?\d+\.?\d*(?:[eE][-+]?\d+)?)"), F.lit(1))
