@@ -101,12 +101,12 @@ def m11_r27_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.groupBy("segment_id", _c("island").alias("run")).agg(F.min("seq").alias("first_seq"), F.count("*").alias("pieces"))
 
 
-_CAMS = "cams AS (SELECT DISTINCT key AS id, lon, lat FROM (SELECT osm_key AS key, lon, lat FROM poi_osm WHERE category IN ('atm', 'bank', 'fuel')) q)"
+_CAMS = "cams AS (SELECT DISTINCT key AS id, lon, lat FROM (SELECT osm_key AS key, lon, lat FROM poi_osm) q)"
 
 
 def catalog(spark: SparkSession, folder: str) -> DataFrame:
-    """A catalogue of points such as cameras or signals."""
-    return table(spark, folder, "poi_osm").where(_c("category").isin("atm", "bank", "fuel")).select(_c("osm_key").alias("id"), "lon", "lat").distinct()
+    """A catalogue of points such as cameras or signals, as which all places of one source stand."""
+    return table(spark, folder, "poi_osm").select(_c("osm_key").alias("id"), "lon", "lat").distinct()
 
 
 @book(f"""WITH {PIECES}, {_CUM}, {_CAMS}, np AS (SELECT p.id, p.lon, p.lat, s.segment_id, s.seq, s.lon1, s.lat1, s.lon2, s.lat2 FROM cams p JOIN v_piece s ON p.lon BETWEEN least(s.lon1, s.lon2) - 0.0013e0 AND greatest(s.lon1, s.lon2) + 0.0013e0 AND p.lat BETWEEN least(s.lat1, s.lat2) - 0.0011e0 AND greatest(s.lat1, s.lat2) + 0.0011e0), {_OFFSET.format(src='np')},

@@ -12,7 +12,7 @@ from cairn.plans.base import PIECES, POIS, TAGS_SQL, VERTICES, Book, latest, pie
 from cairn.plans.guidance import catalog
 from cairn.plans.places import QUERIES_TEXT, _NORM, _Q, named
 from cairn.plans.routing import _KEY, node_key, r1_edges
-from cairn.plans.spatial import _CUM, _INC, _measured, incident_points
+from cairn.plans.spatial import _CUM, _INC, _measured, haversine_sql, incident_points
 from cairn.plans.tiles import _xy
 from cairn.plans.traffic import matched
 from cairn.storage import table
@@ -173,6 +173,32 @@ def lane_sidecar(ways: DataFrame) -> DataFrame:
     return ways.where(F.size("nodes") > 2).select("way", "nodes", some.alias("tags"))
 
 
+# --- walks --------------------------------------------------------------------------------------------
+
+
+def walk_summary(walks: DataFrame) -> DataFrame:
+    """walks (walk, points array of (lon, lat), from, to as (lon, lat)) with route_m, snap_straight_m between the ends of the way, requested_straight_m between the places asked for, and detour_ratio where the ends are more than a metre apart."""
+    apart = lambda a, b: geo.haversine(a["lon"], a["lat"], b["lon"], b["lat"])
+    pieces_ = F.zip_with(F.slice("points", 1, F.size("points") - 1), F.slice("points", 2, F.size("points") - 1), apart)
+    w = walks.where(F.size("points") >= 2).withColumns({"route": F.aggregate(pieces_, F.lit(0.0), lambda a, x: a + x), "snap": apart(F.element_at("points", 1), F.element_at("points", -1)), "asked": apart(_c("from"), _c("to"))})
+    return w.select("walk", rounded(_c("route"), 1).alias("route_m"), rounded(_c("snap"), 1).alias("snap_straight_m"), rounded(_c("asked"), 1).alias("requested_straight_m"), F.when(_c("snap") > 1, rounded(_c("route") / _c("snap"), 2)).alias("detour_ratio"))
+
+
+_ENDS = ", ".join(f"{r_sql(f'{which}({c}, seq)', 3)} AS {name}_{c}" for which, name in (("arg_min", "a"), ("arg_max", "b")) for c in ("lon", "lat"))
+
+
+@book(f"""WITH {VERTICES}, {_CUM}, e AS (SELECT segment_id, max(cum) AS route, arg_min(lon, seq) AS x1, arg_min(lat, seq) AS y1, arg_max(lon, seq) AS x2, arg_max(lat, seq) AS y2, {_ENDS}, count(*) AS n FROM cum GROUP BY 1), d AS (SELECT *, {haversine_sql('x1', 'y1', 'x2', 'y2')} AS snap FROM e WHERE n >= 2)
+SELECT segment_id AS walk, {r_sql('route', 1)} AS route_m, {r_sql('snap', 1)} AS snap_straight_m, {r_sql(haversine_sql('a_lon', 'a_lat', 'b_lon', 'b_lat'), 1)} AS requested_straight_m, CASE WHEN snap > 1 THEN {r_sql('route / snap', 2)} END AS detour_ratio FROM d""")
+def r23_walks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line as a walk between places that were asked for to three decimals."""
+    from cairn.plans.base import lines
+
+    at = lambda k: F.element_at("line", k)
+    asked = lambda p: F.struct(rounded(p["lon"], 3).alias("lon"), rounded(p["lat"], 3).alias("lat"))
+    rows = lines(spark, folder).where(F.size("line") >= 2)
+    return walk_summary(rows.select(_c("segment_id").alias("walk"), _c("line").alias("points"), asked(at(1)).alias("from"), asked(at(-1)).alias("to")))
+
+
 # --- what goes out ------------------------------------------------------------------------------------
 
 

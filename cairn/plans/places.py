@@ -180,6 +180,12 @@ def poi19_repeated_labels(spark: SparkSession, folder: str, least: int = 5) -> D
     return g.where(_c("n") >= least).select(_c("best.key").alias("key"), "norm")
 
 
+@book(f"WITH {_NORM}, g AS (SELECT *, count(*) OVER (PARTITION BY norm) AS n, row_number() OVER (PARTITION BY norm ORDER BY coalesce(confidence, -1e0) DESC, key) AS k FROM v_n WHERE category IS NULL) SELECT key, norm FROM g WHERE n >= 2 AND k = 1")
+def poi19_paired_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with a threshold at which the test tables give rows."""
+    return poi19_repeated_labels(spark, folder, 2)
+
+
 @book("WITH c AS (SELECT DISTINCT canonical_id, cluster_id, source, osm_ids, overture_ids FROM canonical_poi WHERE cluster_id IS NOT NULL), e AS (SELECT cluster_id, trim(unnest(osm_ids)) AS x FROM c) SELECT cluster_id, array_to_string(list_sort(list(DISTINCT x)), ',') AS osm_ids FROM e WHERE x <> '' GROUP BY 1")
 def poi20_provenance(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "canonical_poi").where("cluster_id is not null").select("cluster_id", F.explode("osm_ids").alias("x")).select("cluster_id", F.trim("x").alias("x")).where("x <> ''").distinct()

@@ -90,7 +90,7 @@ def v1_gate_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _STEP = haversine_sql("lag(lon) OVER w", "lag(lat) OVER w", "lon", "lat", RADIUS_ROUND)
-_CUM = f"""good AS (SELECT * FROM v_probe WHERE lon BETWEEN 50.5e0 AND 52e0 AND lat BETWEEN 24.2e0 AND 26.6e0), st AS (SELECT *, floor(coalesce({_STEP}, 0e0) * 1000e0 + 0.5e0) AS mm FROM good WINDOW w AS (PARTITION BY trip ORDER BY t, id)),
+_CUM = f"""good AS (SELECT * FROM v_probe WHERE lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90), st AS (SELECT *, floor(coalesce({_STEP}, 0e0) * 1000e0 + 0.5e0) AS mm FROM good WINDOW w AS (PARTITION BY trip ORDER BY t, id)),
 cu AS (SELECT *, sum(mm) OVER (PARTITION BY trip ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS cum, sum(mm) OVER (PARTITION BY trip) AS total FROM st)"""
 
 
@@ -99,7 +99,7 @@ def travelled(spark: SparkSession, folder: str) -> DataFrame:
 
     The running sum is made in two levels, within hours and over the hours of a trip, so that no task holds a whole trip.
     """
-    p = probes(spark, folder).where("lon between 50.5 and 52 and lat between 24.2 and 26.6").withColumn("hour", F.floor(_c("t") / 3_600_000))
+    p = probes(spark, folder).where("lon between -180 and 180 and lat between -90 and 90").withColumn("hour", F.floor(_c("t") / 3_600_000))
     edges = p.groupBy("trip", "hour").agg(F.max_by(F.struct("lon", "lat"), F.struct("t", "id")).alias("end"))
     trip = W.partitionBy("trip").orderBy("hour")
     before = edges.select("trip", "hour", F.lag("end").over(trip).alias("from_end"))

@@ -26,7 +26,7 @@ _c = F.col
 
 
 def _placed(spark: SparkSession, folder: str) -> DataFrame:
-    return probes(spark, folder).where("lon between 50.5 and 52 and lat between 24.2 and 26.6")
+    return probes(spark, folder).where("lon between -180 and 180 and lat between -90 and 90")
 
 
 @book()
@@ -70,7 +70,7 @@ def m13_sparse_plan(spark: SparkSession, folder: str) -> DataFrame:
 def v9_stream_truncation(spark: SparkSession, folder: str) -> DataFrame:
     """The fixes that the stream commits; the table is what has arrived, so the batch form is its twin."""
     schema = spark.read.parquet(f"{folder}/observation.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{folder}/observation.parquet*").select(_c("trip_pseudonym").alias("trip"), "id", "t", _c("lng").alias("lon"), "lat").where("lon between 50.5 and 52 and lat between 24.2 and 26.6")
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/observation.parquet*").select(_c("trip_pseudonym").alias("trip"), "id", "t", _c("lng").alias("lon"), "lat").where("lon between -180 and 180 and lat between -90 and 90")
     out = streams.run_to_end(streams.truncate_stream(stream, idle_ms=None), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
     return out.where("outcome = 'committed'").select("id", "trip")
 

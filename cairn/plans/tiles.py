@@ -185,9 +185,9 @@ def o12_o13_feature_store(spark: SparkSession, folder: str) -> DataFrame:
     return f.select("id", "m.geometry_type", F.get_json_object("m.properties", "$.kind").alias("kind"), F.get_json_object("m.properties", "$.name").alias("name"))
 
 
-@book("SELECT id, kind, CASE WHEN lon IS NULL OR lat IS NULL THEN 'bad' WHEN NOT (lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90) THEN 'bad' ELSE 'kept' END AS outcome FROM (SELECT DISTINCT osm_key AS id, category AS kind, lon, lat FROM poi_osm WHERE category IN ('atm', 'bank', 'fuel', 'bench')) q")
+@book("SELECT id, kind, CASE WHEN lon IS NULL OR lat IS NULL THEN 'bad' WHEN NOT (lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90) THEN 'bad' ELSE 'kept' END AS outcome FROM (SELECT DISTINCT osm_key AS id, category AS kind, lon, lat FROM poi_osm) q")
 def o16_catalog_reader(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "poi_osm").where(_c("category").isin("atm", "bank", "fuel", "bench")).select(_c("osm_key").alias("id"), _c("category").alias("kind"), "lon", "lat").distinct()
+    rows = table(spark, folder, "poi_osm").select(_c("osm_key").alias("id"), _c("category").alias("kind"), "lon", "lat").distinct()
     good = _c("lon").between(-180, 180) & _c("lat").between(-90, 90)
     return rows.select("id", "kind", F.when(good, "kept").otherwise("bad").alias("outcome"))
 

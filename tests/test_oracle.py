@@ -7,11 +7,15 @@ import pytest
 
 from cairn.plans import registry
 
-FOLDER = os.environ.get("CAIRN_ORACLE", "/root/testdata/sf0.001")
+FOLDER = os.environ.get("CAIRN_ORACLE", "/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 CASES = registry.sql()
 
 
+#: Queries for which the small test tables hold no case, with published thresholds or exact places.
+NO_CASES = {"poi19_repeated_labels", "t14_speed_profiles", "m7_signal_index"}
+
+
 @pytest.fixture(scope="module")
 def con():
     return oracle.connect(FOLDER)
@@ -19,7 +23,9 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(CASES))
 def test_query_equals_sql(spark, con, name):
-    faults = [f for f in oracle.compare(spark, con, registry.queries()[name], CASES[name], FOLDER) if f != "no rows on either side"]
+    faults = oracle.compare(spark, con, registry.queries()[name], CASES[name], FOLDER)
+    if name in NO_CASES or FOLDER.endswith("sf0.001"):  # at the smallest scale more are empty
+        faults = [f for f in faults if f != "no rows on either side"]
     assert not faults, faults
 
 
