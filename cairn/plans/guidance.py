@@ -213,7 +213,8 @@ s8 AS (SELECT *, al + CASE WHEN al > 85 THEN 0e0 WHEN al > 5 THEN (58.1e0 / tan(
 @book(f"WITH {_SUN} SELECT id, {r_sql('alt')} AS altitude, {r_sql('CASE WHEN ha > 0 THEN (az + 180e0) % 360e0 ELSE (540e0 - az) % 360e0 END', 2)} AS azimuth FROM s8")
 def k1_sun(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "poi_osm").select(_c("osm_key").alias("id"), "lon", "lat", F.unix_millis("edited_at").alias("ms")).distinct()
-    altitude, azimuth = solar.sun("lon", "lat", "ms")
+    rows = solar.with_sun(rows, _c("lon"), _c("lat"), _c("ms"))
+    altitude, azimuth = _c("altitude"), _c("azimuth")
     return rows.select("id", rounded(altitude).alias("altitude"), rounded(azimuth, 2).alias("azimuth"))
 
 
@@ -225,8 +226,7 @@ def shade_of_pieces(spark: SparkSession, folder: str, at_ms: int = _NOON) -> Dat
     """Exposure to the sun of every piece of the lines at an instant."""
     p = pieces(spark, folder).withColumns({"metres": geo.haversine("lon1", "lat1", "lon2", "lat2", geo.RADIUS_ROUND), "b": geo.bearing("lon1", "lat1", "lon2", "lat2")})
     p = p.withColumn("street", F.element_at(F.array(*[F.lit(s) for s in _STREETS]), _c("seq") % len(_STREETS) + 1))
-    altitude, azimuth = solar.sun((_c("lon1") + _c("lon2")) / 2, (_c("lat1") + _c("lat2")) / 2, F.lit(at_ms).cast("long"))
-    p = p.withColumns({"altitude": altitude, "azimuth": azimuth})
+    p = solar.with_sun(p, (_c("lon1") + _c("lon2")) / 2, (_c("lat1") + _c("lat2")) / 2, F.lit(at_ms).cast("long"))
     value, basis = solar.exposure(_c("metres"), _c("street"), _c("seq") % 11 == 10, _c("seq") % 13 == 12, _c("altitude"), _c("azimuth"), _c("b"))
     return p.withColumns({"exposure": value, "basis": basis})
 

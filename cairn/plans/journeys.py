@@ -187,8 +187,8 @@ def walk_summary(walks: DataFrame) -> DataFrame:
 _ENDS = ", ".join(f"{r_sql(f'{which}({c}, seq)', 3)} AS {name}_{c}" for which, name in (("arg_min", "a"), ("arg_max", "b")) for c in ("lon", "lat"))
 
 
-@book(f"""WITH {VERTICES}, {_CUM}, e AS (SELECT segment_id, max(cum) AS route, arg_min(lon, seq) AS x1, arg_min(lat, seq) AS y1, arg_max(lon, seq) AS x2, arg_max(lat, seq) AS y2, {_ENDS}, count(*) AS n FROM cum GROUP BY 1), d AS (SELECT *, {haversine_sql('x1', 'y1', 'x2', 'y2')} AS snap FROM e WHERE n >= 2)
-SELECT segment_id AS walk, {r_sql('route', 1)} AS route_m, {r_sql('snap', 1)} AS snap_straight_m, {r_sql(haversine_sql('a_lon', 'a_lat', 'b_lon', 'b_lat'), 1)} AS requested_straight_m, CASE WHEN snap > 1 THEN {r_sql('route / snap', 2)} END AS detour_ratio FROM d""")
+@book(f"""WITH {VERTICES}, {_CUM}, e AS (SELECT segment_id, max(cum) AS route, arg_min(lon, seq) AS x1, arg_min(lat, seq) AS y1, arg_max(lon, seq) AS x2, arg_max(lat, seq) AS y2, {_ENDS}, count(*) AS n FROM cum GROUP BY 1), dd AS (SELECT *, {haversine_sql("x1", "y1", "x2", "y2")} AS snap FROM e WHERE n >= 2)
+SELECT segment_id AS walk, {r_sql('route', 1)} AS route_m, {r_sql('snap', 1)} AS snap_straight_m, {r_sql(haversine_sql('a_lon', 'a_lat', 'b_lon', 'b_lat'), 1)} AS requested_straight_m, CASE WHEN snap > 1 THEN {r_sql('route / snap', 2)} END AS detour_ratio FROM dd""")
 def r23_walks(spark: SparkSession, folder: str) -> DataFrame:
     """Every line as a walk between places that were asked for to three decimals."""
     from cairn.plans.base import lines

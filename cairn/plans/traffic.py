@@ -53,8 +53,8 @@ def valid_probes(spark: SparkSession, folder: str) -> DataFrame:
     return probes(spark, folder).where("lon between -180 and 180 and lat between -90 and 90")
 
 
-def matched(spark: SparkSession, folder: str) -> DataFrame:
-    return match_points(valid_probes(spark, folder), pieces(spark, folder), MATCH_M)
+def matched(spark: SparkSession, folder: str, *carry: str) -> DataFrame:
+    return match_points(valid_probes(spark, folder), pieces(spark, folder), MATCH_M, carry=carry)
 
 
 @book(f"WITH {PROBES} SELECT source, kind, count(*) AS n, count(*) FILTER (WHERE speed_kmh IS NULL) AS without_speed, count(*) FILTER (WHERE NOT (lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90)) AS out_of_bounds FROM v_probe GROUP BY ALL")
@@ -79,22 +79,22 @@ _AGG = f"""ag AS (SELECT segment_id, count(*) AS probe_count, CASE WHEN count(sp
  FROM mt JOIN v_probe USING (id) GROUP BY segment_id), sg AS (SELECT segment_id, max(free_flow_kmh) AS free_flow_kmh FROM v_seg GROUP BY 1)"""
 
 
-def aggregated(matches: DataFrame, probes_: DataFrame, keys: list[str]) -> DataFrame:
+def aggregated(matches: DataFrame, keys: list[str]) -> DataFrame:
     milli = F.floor(_c("speed_kmh") * 1000 + 0.5).cast("long")
     n = F.count("speed_kmh")
     mean = F.when(n > 0, F.floor((F.sum(milli) * 2 + n * 10) / (n * 20)) / F.lit(100.0))
-    return matches.join(probes_, "id").groupBy(*keys).agg(F.count("*").alias("probe_count"), mean.alias("mean_speed_kmh"))
+    return matches.groupBy(*keys).agg(F.count("*").alias("probe_count"), mean.alias("mean_speed_kmh"))
 
 
 @book(f"WITH {_MATCH}, {_AGG} SELECT segment_id, probe_count, mean_speed_kmh, free_flow_kmh, {_congestion_sql('mean_speed_kmh', 'free_flow_kmh')} AS congestion FROM ag JOIN sg USING (segment_id)")
 def t4_t5_aggregate(spark: SparkSession, folder: str) -> DataFrame:
-    a = aggregated(matched(spark, folder), valid_probes(spark, folder).select("id", "speed_kmh"), ["segment_id"])
+    a = aggregated(matched(spark, folder, "speed_kmh"), ["segment_id"])
     rows = a.join(lines(spark, folder).select("segment_id", "free_flow_kmh"), "segment_id")
     return rows.withColumn("congestion", congestion(_c("mean_speed_kmh"), _c("free_flow_kmh")))
 
 
 def estimate(spark: SparkSession, folder: str) -> DataFrame:
-    a = aggregated(matched(spark, folder), valid_probes(spark, folder).select("id", "speed_kmh"), ["segment_id"])
+    a = aggregated(matched(spark, folder, "speed_kmh"), ["segment_id"])
     rows = lines(spark, folder).select("segment_id", "free_flow_kmh").join(a, "segment_id", "left")
     return rows.select("segment_id", "free_flow_kmh", "mean_speed_kmh", F.coalesce("probe_count", F.lit(0)).alias("probe_count"), congestion(_c("mean_speed_kmh"), _c("free_flow_kmh")).alias("congestion"))
 
@@ -172,8 +172,8 @@ SELECT segment_id, CAST(band AS INTEGER) AS band, {r_sql('quantile_cont(speed_km
 def t14_speed_profiles(spark: SparkSession, folder: str, keep_ms: int = 259_200_000, least_trips: int = 5) -> DataFrame:
     """Median speed per segment and band of the last 72 hours, where at least 5 distinct trips stand behind it."""
     newest = probes(spark, folder).agg(F.max("t").alias("newest"))
-    p = valid_probes(spark, folder).where("speed_kmh is not null").join(F.broadcast(newest)).where(_c("t") >= _c("newest") - keep_ms).select("id", "trip", "speed_kmh", time_band(_c("t")).alias("band"))
-    g = matched(spark, folder).join(p, "id").groupBy("segment_id", "band").agg(rounded(F.percentile("speed_kmh", 0.5), 2).alias("median_kmh"), F.countDistinct("trip").alias("trips"))
+    p = matched(spark, folder, "trip", "t", "speed_kmh").where("speed_kmh is not null").join(F.broadcast(newest), F.lit(True)).where(_c("t") >= _c("newest") - keep_ms)  # newest is one row
+    g = p.groupBy("segment_id", time_band(_c("t")).alias("band")).agg(rounded(F.percentile("speed_kmh", 0.5), 2).alias("median_kmh"), F.countDistinct("trip").alias("trips"))
     return g.where(_c("trips") >= least_trips)
 
 
