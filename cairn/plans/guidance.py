@@ -104,6 +104,14 @@ def m11_r27_runs(spark: SparkSession, folder: str) -> DataFrame:
 _CAMS = "cams AS (SELECT DISTINCT key AS id, lon, lat FROM (SELECT osm_key AS key, lon, lat FROM poi_osm) q)"
 
 
+_SIGNALS = _CAMS.replace("FROM poi_osm) q", "FROM poi_osm WHERE category IN ('atm', 'bank', 'fuel')) q").replace("cams AS", "sgn AS")
+
+
+def signals(spark: SparkSession, folder: str) -> DataFrame:
+    """Signals, as which places of three categories stand; others are none."""
+    return table(spark, folder, "poi_osm").where(_c("category").isin("atm", "bank", "fuel")).select(_c("osm_key").alias("id"), "lon", "lat").distinct()
+
+
 def catalog(spark: SparkSession, folder: str) -> DataFrame:
     """A catalogue of points such as cameras or signals, as which all places of one source stand."""
     return table(spark, folder, "poi_osm").select(_c("osm_key").alias("id"), "lon", "lat").distinct()
@@ -124,7 +132,7 @@ def m6_m9_on_path(spark: SparkSession, folder: str) -> DataFrame:
 @book()
 def m6_signals_on_path(spark: SparkSession, folder: str, within: float = 40.0, ahead_m: float = 12.0) -> DataFrame:
     """Signals by the nearest piece of each line, with the line's bearing ahead of them; those up to 10 m after the last one kept are merged into it."""
-    near = bucket_join(catalog(spark, folder), padded(pieces(spark, folder).drop("free_flow_kmh"), within * 1.2), 0.003)
+    near = bucket_join(signals(spark, folder), padded(pieces(spark, folder).drop("free_flow_kmh"), within * 1.2), 0.003)
     dx, dy = _c("lon2") - _c("lon1"), _c("lat2") - _c("lat1")
     t = F.when(dx * dx + dy * dy <= 1e-18, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((_c("lon") - _c("lon1")) * dx + (_c("lat") - _c("lat1")) * dy) / (dx * dx + dy * dy))))
     hit = near.withColumn("t", t).withColumn("off", geo.haversine("lon", "lat", _c("lon1") + _c("t") * dx, _c("lat1") + _c("t") * dy)).where(_c("off") <= within)
@@ -139,13 +147,13 @@ def m6_signals_on_path(spark: SparkSession, folder: str, within: float = 40.0, a
     return kept.select("segment_id", "id", _c("cum").alias("along_m"), "approach_bearing")
 
 
-@book(f"WITH {VERTICES}, {_CAMS}, n AS (SELECT DISTINCT {_KEY} AS node FROM v_vertex), s AS (SELECT {_KEY} AS node, max(id) AS id FROM cams WHERE lon IS NOT NULL AND lat IS NOT NULL GROUP BY 1) SELECT node, id, CASE WHEN regexp_full_match(id, '(osm:)?n[0-9]+') THEN 'osm:node:' || regexp_extract(id, '([0-9]+)$', 1) ELSE 'signal:' || id END AS source FROM s JOIN n USING (node)")
+@book(f"WITH {VERTICES}, {_SIGNALS}, n AS (SELECT DISTINCT {_KEY} AS node FROM v_vertex), s AS (SELECT {_KEY} AS node, max(id) AS id FROM sgn WHERE lon IS NOT NULL AND lat IS NOT NULL GROUP BY 1) SELECT node, id, CASE WHEN regexp_full_match(id, '(osm:)?n[0-9]+') THEN 'osm:node:' || regexp_extract(id, '([0-9]+)$', 1) ELSE 'signal:' || id END AS source FROM s JOIN n USING (node)")
 def m7_signal_index(spark: SparkSession, folder: str) -> DataFrame:
     """Signals that stand on a node of the roads, by its exact key, with where they come from; of several on a node the last."""
     nodes = vertices(spark, folder).select(node_key(_c("lon"), _c("lat")).alias("node")).distinct()
-    signals = catalog(spark, folder).where("lon is not null and lat is not null").groupBy(node_key(_c("lon"), _c("lat")).alias("node")).agg(F.max("id").alias("id"))
+    found = signals(spark, folder).where("lon is not null and lat is not null").groupBy(node_key(_c("lon"), _c("lat")).alias("node")).agg(F.max("id").alias("id"))
     source = F.when(_c("id").rlike("^(osm:)?n[0-9]+$"), F.concat(F.lit("osm:node:"), F.regexp_extract("id", "([0-9]+)$", 1))).otherwise(F.concat(F.lit("signal:"), _c("id")))
-    return signals.join(nodes, "node", "left_semi").select("node", "id", source.alias("source"))
+    return found.join(nodes, "node", "left_semi").select("node", "id", source.alias("source"))
 
 
 _OPS = ["speed", "red_light", "average speed", None, "toll", "SPEED;red", "bus lane"]

@@ -9,7 +9,7 @@ from cairn.operators import sequential as S, steps as P
 from cairn.operators.spatial import bucket_join, padded
 from cairn.plans import features, routing
 from cairn.plans.base import PIECES, POIS, TAGS_SQL, VERTICES, Book, latest, pieces, pois, probes, r_sql, rounded, tags, vertices
-from cairn.plans.guidance import catalog
+from cairn.plans.guidance import signals
 from cairn.plans.places import QUERIES_TEXT, _NORM, _Q, named
 from cairn.plans.routing import _KEY, node_key, r1_edges
 from cairn.plans.spatial import _CUM, _INC, _measured, haversine_sql, incident_points
@@ -321,7 +321,7 @@ def k8_walk_follower(spark: SparkSession, folder: str) -> DataFrame:
 @book()
 def k17_matched_signals(spark: SparkSession, folder: str, within: float = 25.0, merge_m: float = 10.0) -> DataFrame:
     """Signals on a line at their earliest pass within reach, without second nodes of the same lights."""
-    near = bucket_join(catalog(spark, folder), padded(pieces(spark, folder).drop("free_flow_kmh"), within * 1.2), 0.003)
+    near = bucket_join(signals(spark, folder), padded(pieces(spark, folder).drop("free_flow_kmh"), within * 1.2), 0.003)
     t, off = geo.planar_offset("lon", "lat", "lon1", "lat1", "lon2", "lat2")
     m = _measured(spark, folder).select("segment_id", "seq", "cum")
     hit = near.withColumns({"t": t, "off": off}).where(_c("off") <= within).join(m, ["segment_id", "seq"]).withColumn("along", rounded(_c("cum") + _c("t") * geo.haversine("lon1", "lat1", "lon2", "lat2"), 1))
