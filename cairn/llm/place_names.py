@@ -56,6 +56,8 @@ _PLACEHOLDERS = {"", "-", "--", ".", "?", "n/a", "na", "none", "null", "unknown"
 
 def fold(text: str) -> str:
     """Lower case without marks, invisible characters and runs of blanks; dots of abbreviations are dropped."""
+    if text.isascii():
+        return " ".join(text.lower().split())
     text = unicodedata.normalize("NFKD", text)
     text = "".join(c for c in text if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").lower()
     text = text.translate(str.maketrans("أإآٱى", "ااااي", "ـ"))
@@ -65,6 +67,7 @@ def fold(text: str) -> str:
 _WORDS = sorted(((fold(w), k) for k, words in KIND_WORDS.items() for w in words), key=lambda x: -len(x[0]))
 
 
+_PADDED = [(f" {w} ", k) for w, k in _WORDS]
 _SINGLE = {w: k for w, k in _WORDS if " " not in w and w.isascii()}
 _LEAST_MISSPELT = 6  # letters from which a word one edit away from a kind of place stands for it
 
@@ -95,6 +98,7 @@ def is_placeholder(text: str | None) -> bool:
     return text is None or fold(text).strip(" .!&,;:_-") in _PLACEHOLDERS
 
 
+@lru_cache(maxsize=100_000)
 def squeeze(word: str) -> str:
     """A Latin word with the spellings of one sound made alike."""
     for a, b in (("sch", "sh"), ("ch", "sh"), ("ph", "f"), ("th", "t"), ("gh", "g"), ("kh", "k"), ("dh", "d"), ("q", "k"), ("c", "k"), ("x", "ks"), ("ou", "u"), ("oo", "u"), ("ee", "i"), ("y", "i"), ("v", "f"), ("w", "u"), ("z", "s"), ("p", "b"), ("j", "g"), ("e", "i"), ("o", "u")):
@@ -102,6 +106,7 @@ def squeeze(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word)
 
 
+@lru_cache(maxsize=100_000)
 def skeleton(core: str) -> str:
     """Consonants of a folded core in one spelling for both scripts; doubled letters count once, h and half vowels not at all."""
     out, last = [], ""
@@ -120,15 +125,16 @@ def parse(name: str | None) -> tuple[str, str, str, str]:
     text = fold(name)
     aside = " ".join(re.findall(r"[(\[]([^)\]]*)[)\]]?", text))
     text = re.sub(r"[(\[][^)\]]*[)\]]?", " ", text)
-    text = re.sub(r"(?<=[^\W\d_])\.(?=\s|$)|(?<=\b[a-z])\.(?=[a-z]\b)", "", text)
+    if "." in text:
+        text = re.sub(r"(?<=[^\W\d_])\.(?=\s|$)|(?<=\b[a-z])\.(?=[a-z]\b)", "", text)
     text = re.sub(r"\ba t m\b", "atm", re.sub(r"[^\w]+", " ", text).replace("_", " ")).strip()
     number = " ".join(re.findall(r"\d+", text))
     text = " ".join(re.sub(r"\d+", " ", text).split())
     kind = ""
     padded = f" {text} "
-    for word, k in _WORDS:
-        if f" {word} " in padded:
-            padded = padded.replace(f" {word} ", " ", 1)
+    for word, k in _PADDED:
+        if word in padded:
+            padded = padded.replace(word, " ", 1)
             kind = kind or k
     words = padded.split()
     if not kind and len(words) > 1:
