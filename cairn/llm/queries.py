@@ -10,6 +10,7 @@ from cairn.llm.packing import CAPACITY, fill_report, pack_documents
 from cairn.llm.place_groups import found_groups, place_groups
 from cairn.llm.place_match import match_places
 from cairn.llm.survivor import surviving_records, surviving_values
+from cairn.llm.tokens import with_tokens
 from cairn.storage import materialize, table
 
 
@@ -86,9 +87,17 @@ def p6_valid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_valid(spark: SparkSession, folder: str) -> DataFrame:
-    """Sources with a target, those used more often than allowed, and those of ten uses or more that are off their target by more than two hundredths: none of the latter two."""
+    """Sources with a target, those used more often than allowed, and those whose tokens miss what they owe by more than their largest document: none of the latter two.
+
+    What a source owes is its share of the largest mix that no source's repeats forbid.
+    """
     s = p7_shares(spark, folder)
-    return s.agg(F.count("*").alias("sources"), F.count(F.when(F.col("most_uses") > F.col("max_repeats"), 1)).alias("over_repeated"), F.count(F.when((F.col("uses") >= 10) & (F.abs(F.col("actual_share") - F.col("target_share")) > 0.02), 1)).alias("off_target"))
+    sized = with_tokens(table(spark, folder, "documents").where("doc_id is not null and source is not null"), ["doc_id", "source"])
+    have = sized.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("have"), F.max("n_tokens").alias("largest"))
+    rows = materialize(s.join(have, "source", "left").withColumn("most", F.col("max_repeats") * F.col("have") / F.col("target_share")), "owed")  # one row a source
+    rows = rows.crossJoin(F.broadcast(rows.where("target_share > 0 and most > 0").agg(F.min("most").alias("total"))))  # of one row
+    missed = F.abs(F.col("tokens") - F.col("target_share") * F.col("total")) > F.col("largest")
+    return rows.agg(F.count("*").alias("sources"), F.count(F.when(F.col("most_uses") > F.col("max_repeats"), 1)).alias("over_repeated"), F.count(F.when(missed, 1)).alias("off_target"))
 
 
 def p8_valid(spark: SparkSession, folder: str) -> DataFrame:
