@@ -173,6 +173,40 @@ def lane_sidecar(ways: DataFrame) -> DataFrame:
     return ways.where(F.size("nodes") > 2).select("way", "nodes", some.alias("tags"))
 
 
+# --- lanes of a route ---------------------------------------------------------------------------------
+
+# Metres of a lane, the side driven on.
+LANE_M, DRIVE_SIDE = 3.5, 1.0
+
+
+def carriageway(forward, total):
+    """(offset_m, width_m) of the driver's carriageway from the line of its road: on the line if all lanes go forward, half its width to the side if half of them do; null if nothing is known."""
+    width = forward * LANE_M
+    known = (forward > 0) & ((total == forward) | (total == 2 * forward))
+    return F.when(known, F.when(total == forward, 0.0).otherwise(DRIVE_SIDE * width * 0.5)), F.when(known, width)
+
+
+def lateral_at(before, after):
+    """Offset at a place (at) between two of known offset (at, offset): straight from one to the other, the nearest beyond the ends."""
+    span = after["at"] - before["at"]
+    share = F.when(span <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (_c("at") - before["at"]) / span)))
+    return F.when(before.isNull(), after["offset"]).when(after.isNull(), before["offset"]).otherwise(before["offset"] + (after["offset"] - before["offset"]) * share)
+
+
+_TOTAL = "CASE lanes WHEN '1' THEN 1 WHEN '2' THEN 2 WHEN '3' THEN 3 END"
+_FORWARD = f"CASE WHEN oneway IN ('yes', 'true', '1') THEN {_TOTAL} WHEN {_TOTAL} % 2 = 0 THEN {_TOTAL} // 2 END"
+
+
+@book(f"WITH {TAGS_SQL}, l AS (SELECT id, {_TOTAL} AS total, {_FORWARD} AS fwd FROM v_tags) SELECT id, CASE WHEN fwd > 0 AND total = fwd THEN 0e0 WHEN fwd > 0 AND total = 2 * fwd THEN fwd * 3.5e0 * 0.5e0 END AS offset_m, CASE WHEN fwd > 0 AND (total = fwd OR total = 2 * fwd) THEN fwd * 3.5e0 END AS width_m FROM l")
+def m17_carriageways(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the driver's carriageway lies beside the line of its road, over the fixture of tags."""
+    total = F.when(_c("lanes").isin("1", "2", "3"), _c("lanes").cast("int"))
+    forward = F.when(_c("oneway").isin("yes", "true", "1"), total).when(total % 2 == 0, (total / 2).cast("int"))
+    t = tags(spark, folder).withColumns({"total": total, "forward": forward})
+    offset, width = carriageway(_c("forward"), _c("total"))
+    return t.select("id", offset.alias("offset_m"), width.alias("width_m"))
+
+
 # --- walks --------------------------------------------------------------------------------------------
 
 

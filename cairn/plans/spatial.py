@@ -127,6 +127,33 @@ def s15_locate(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("segment_id", "seq", rounded(_c("lon") + (_c("lon2") - _c("lon")) * share, 6).alias("lon"), rounded(_c("lat") + (_c("lat2") - _c("lat")) * share, 6).alias("lat"))
 
 
+def sub_line(rows: DataFrame, key: str, lo, hi) -> DataFrame:
+    """Vertices (key, at, lon, lat) of the part of each line between lo and hi metres: where it begins, what lies between, where it ends.
+
+    rows are vertices (key, seq, lon, lat, cum) with lo and hi given as columns of them. A line that lo or hi lies beyond ends where it ends.
+    """
+    w = W.partitionBy(key).orderBy("seq")
+    v = rows.withColumns({"_lo": lo, "_hi": hi, "_lon": F.lead("lon").over(w), "_lat": F.lead("lat").over(w), "_next": F.lead("cum").over(w)})
+
+    def cut(d: str) -> DataFrame:
+        share = (_c(d) - _c("cum")) / (_c("_next") - _c("cum"))
+        within = v.where((_c("cum") <= _c(d)) & (_c("_next") > _c(d)))
+        return within.select(key, _c(d).alias("at"), (_c("lon") + (_c("_lon") - _c("lon")) * share).alias("lon"), (_c("lat") + (_c("_lat") - _c("lat")) * share).alias("lat"))
+
+    inner = v.where((_c("cum") > _c("_lo")) & (_c("cum") < _c("_hi"))).select(key, _c("cum").alias("at"), "lon", "lat")
+    return cut("_lo").unionByName(inner).unionByName(cut("_hi"))
+
+
+@book(f"""WITH {VERTICES}, {_CUM}, n AS (SELECT *, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2, lead(cum) OVER w AS cum2, max(cum) OVER (PARTITION BY segment_id) AS total FROM cum WINDOW w AS (PARTITION BY segment_id ORDER BY seq)),
+p AS (SELECT segment_id, q * total AS at_m, lon + (lon2 - lon) * ((q * total - cum) / (cum2 - cum)) AS lon, lat + (lat2 - lat) * ((q * total - cum) / (cum2 - cum)) AS lat FROM n, (VALUES (0.25e0), (0.75e0)) v(q) WHERE cum <= q * total AND cum2 > q * total UNION ALL SELECT segment_id, cum, lon, lat FROM n WHERE cum > 0.25e0 * total AND cum < 0.75e0 * total)
+SELECT segment_id, {r_sql('at_m', 2)} AS at_m, {r_sql('lon', 6)} AS lon, {r_sql('lat', 6)} AS lat FROM p""")
+def s15_sub_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The middle half of every line."""
+    rows = _measured(spark, folder).withColumn("total", F.max("cum").over(W.partitionBy("segment_id")))
+    part = sub_line(rows, "segment_id", F.lit(0.25) * _c("total"), F.lit(0.75) * _c("total"))
+    return part.select("segment_id", rounded(_c("at"), 2).alias("at_m"), rounded(_c("lon"), 6).alias("lon"), rounded(_c("lat"), 6).alias("lat"))
+
+
 @book(f"""WITH {PIECES}, {_CUM}, {_INC}, {_NEAR}, {_OFFSET.format(src='np')}, j AS (SELECT offs.id, offs.segment_id, offs.seq, {r_sql('off')} AS off, cum.cum + t * {haversine_sql(*_PIECE)} AS pos FROM offs JOIN cum USING (segment_id, seq) WHERE off <= 60),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY off, segment_id, seq) AS k FROM j) SELECT id, segment_id, seq, off AS metres, {r_sql('pos', 1)} AS along_m FROM r WHERE k = 1""")
 def s16_project_on_line(spark: SparkSession, folder: str) -> DataFrame:

@@ -114,3 +114,9 @@ def test_fan_out_swaps_the_order_of_points(spark):
 def test_sidecar_keeps_its_own_tags(spark):
     w = spark.createDataFrame([("w1", [1, 2, 3], {"layer": "1", "name": "x", "lanes:forward": ""}), ("w2", [1], {"layer": "1"})], "way string, nodes array<int>, tags map<string, string>")
     assert [(r["way"], r["tags"]) for r in journeys.lane_sidecar(w).collect()] == [("w1", {"layer": "1"})]
+
+
+def test_offset_between_two_places(spark):
+    rows = [(0.0, (10.0, 0.0), (60.0, 5.0)), (35.0, (10.0, 0.0), (60.0, 5.0)), (99.0, (10.0, 0.0), (60.0, 5.0)), (5.0, None, (60.0, 5.0)), (5.0, (10.0, 2.0), None), (7.0, (10.0, 1.0), (10.0, 3.0))]
+    df = spark.createDataFrame(rows, "at double, a struct<at: double, offset: double>, b struct<at: double, offset: double>")
+    assert [r["o"] for r in df.select(journeys.lateral_at(F.col("a"), F.col("b")).alias("o")).collect()] == [0.0, 2.5, 5.0, 5.0, 2.0, 3.0]
