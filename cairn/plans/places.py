@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from cairn.functions import geo, names as N
 from cairn.functions.tags import lookup
-from cairn.operators import sequential as S
+from cairn.operators import cells, sequential as S
 from cairn.operators.spatial import bucket_join, padded
 from cairn.plans.base import PIECES, POIS, Book, pieces, pois, r_sql, rounded
 from cairn.plans.spatial import haversine_sql, incident_points, _INC
@@ -76,14 +76,12 @@ _PAIRS = f"""c AS (SELECT a.key AS a_key, b.key AS b_key, a.source AS a_source,
 
 
 def same_key_pairs(rows: DataFrame, key: str, metres: float) -> DataFrame:
-    """Pairs of rows (key, source, category, lon, lat) with the same value of a column within metres, each once; cells keep far branches of a chain apart."""
-    size = 0.0036
-    x, y = F.floor(_c("lon") / size), F.floor(_c("lat") / size)
-    a = rows.select(_c(key).alias("block"), x.alias("x"), y.alias("y"), F.struct("key", "source", "category", "lon", "lat").alias("a"))
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    b = rows.select(_c(key).alias("block"), x.alias("x0"), y.alias("y0"), F.struct("key", "source", "category", "lon", "lat").alias("b")).withColumn("dx", around).withColumn("dy", around)
-    b = b.select("block", (_c("x0") + _c("dx")).alias("x"), (_c("y0") + _c("dy")).alias("y"), "b")
-    pairs = a.join(b, ["block", "x", "y"]).where("a.key < b.key")
+    """Pairs of rows (key, source, category, lon, lat) with the same value of a column within metres, each once; cells keep far branches of a chain apart, at any latitude."""
+    own = F.struct("key", "source", "category", "lon", "lat")
+    rows = rows.where("lon between -180 and 180 and lat between -90 and 90")
+    a = rows.select(_c(key).alias("block"), cells.cell(_c("lon"), _c("lat")).alias("cell"), own.alias("a"))
+    b = rows.select(_c(key).alias("block"), F.explode(cells.cells_within(_c("lon"), _c("lat"), metres * 1.01)).alias("cell"), own.alias("b"))
+    pairs = a.join(b, ["block", "cell"]).where("a.key < b.key")
     return pairs.withColumn("metres", rounded(geo.haversine(_c("a.lon"), _c("a.lat"), _c("b.lon"), _c("b.lat"), geo.RADIUS_ROUND), 1)).where(_c("metres") <= metres)
 
 
