@@ -17,13 +17,11 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, Strin
 
 from cairn.llm import label_model
 from cairn.llm.place_names import CATEGORY, fold, parse, skeleton, squeeze, variants
+from cairn.operators.cells import cell, cells_within, near_metres
 from cairn.storage import materialize
 
 #: Metres beyond which two records are no candidates.
 REACH_M = 300.0
-METRES = 111195.08  # per degree of latitude
-#: Side of the blocking cells in metres; a record is looked up in the cells that its reach touches, about two on average.
-CELL_M = 1600.0
 THRESHOLD = 0.5
 
 _TEXT, _LIST = StringType(), ArrayType(StringType())
@@ -125,46 +123,6 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0).cast("int")
 
 
-def _metres(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Planar metres between near points, over the date line too."""
-    dx = F.abs(lon1 - lon2)
-    dx = F.when(dx > 180, 360 - dx).otherwise(dx) * F.cos(F.radians((lat1 + lat2) / 2)) * METRES
-    return F.sqrt(F.pow(dx, 2) + F.pow((lat1 - lat2) * METRES, 2))
-
-
-_SIDE = CELL_M / METRES  # degrees of latitude
-
-
-def _row(lat: Column) -> Column:
-    return F.floor((lat + 90) / _SIDE)
-
-
-def _around(row: Column) -> Column:
-    """Cells of a row around the earth: as many as are CELL_M wide at least where the row is narrowest."""
-    widest = F.least(F.lit(90.0), F.greatest(F.abs(row * _SIDE - 90), F.abs((row + 1) * _SIDE - 90)))
-    return F.greatest(F.lit(1), F.floor(F.lit(360 / _SIDE) * F.cos(F.radians(widest)))).cast("long")
-
-
-def cell(lon: Column, lat: Column) -> Column:
-    """Key of the blocking cell of a point."""
-    row = _row(lat)
-    return row * (1 << 32) + F.pmod(F.floor((lon + 180) / 360 * _around(row)), _around(row))
-
-
-def cells_within(lon: Column, lat: Column, metres: float) -> Column:
-    """Keys of the cells that hold any point within metres of a point; a right answer at any latitude and over the date line."""
-    def of_row(row: Column) -> Column:
-        n = _around(row)
-        near = F.least(F.lit(89.9999), F.abs(lat) + metres / METRES)
-        span = metres / METRES / F.cos(F.radians(near)) / 360  # share of the circle
-        lo, hi = F.floor(((lon + 180) / 360 - span) * n), F.floor(((lon + 180) / 360 + span) * n)
-        columns = F.sequence(lo, F.least(hi, lo + n - 1))
-        return F.transform(columns, lambda x: row * (1 << 32) + F.pmod(x, n))
-
-    rows = F.sequence(_row(F.greatest(F.lit(-90.0), lat - metres / METRES)), _row(F.least(F.lit(90.0), lat + metres / METRES)))
-    return F.array_distinct(F.flatten(F.transform(rows, of_row)))
-
-
 #: Functions that vote, how often a yes and a no of each are taken to be right when the fit starts, and the greatest share of true
 #: matches that each may deny. Functions that look at the same letters start low; for contradictions the bound is tight.
 VOTERS = {
@@ -179,10 +137,10 @@ def candidates(left: DataFrame, right: DataFrame, reach: float = REACH_M) -> Dat
     a = left.select(F.col("rec").alias("a_rec"), lon.alias("ax"), lat.alias("ay"), cell(lon, lat).alias("cell"), F.explode("blocks").alias("block"))
     b = right.select("rec", "lon", "lat", "blocks", F.explode(cells_within(lon, lat, reach)).alias("cell"))
     b = b.select(F.col("rec").alias("b_rec"), lon.alias("bx"), lat.alias("by"), "cell", F.explode("blocks").alias("block"))
-    near = _metres(*[F.col(c) for c in ("ax", "ay", "bx", "by")]) <= reach
+    near = near_metres(*[F.col(c) for c in ("ax", "ay", "bx", "by")]) <= reach
     pairs = a.join(b, ["cell", "block"]).where(near).select("a_rec", "b_rec").distinct()
     full = lambda t, side: t.select(F.col("rec").alias(f"{side}_rec"), F.struct(*[c for c in t.columns if c not in ("rec", "blocks")]).alias(side))
-    rows = pairs.join(full(left, "a"), "a_rec").join(full(right, "b"), "b_rec").withColumn("metres", _metres(*[F.col(c) for c in ("a.lon", "a.lat", "b.lon", "b.lat")]))
+    rows = pairs.join(full(left, "a"), "a_rec").join(full(right, "b"), "b_rec").withColumn("metres", near_metres(*[F.col(c) for c in ("a.lon", "a.lat", "b.lon", "b.lat")]))
     rows = rows.withColumns({"bones_like": _likeness(F.col("a.skeletons"), F.col("b.skeletons")), "letters_like": _likeness(F.col("a.latin"), F.col("b.latin"))})
     both = lambda c: (F.size(f"a.{c}") > 0) & (F.size(f"b.{c}") > 0)
     meet = lambda c: F.arrays_overlap(f"a.{c}", f"b.{c}")
